@@ -22,7 +22,9 @@ from chronofold.llm.common import bucket_of, id_cuts, partitions, sha256_hex
 SAMPLES = 256
 SEED = 0x5EED
 #: Texts are walked side by side up to this many characters at once.
-GROUP_CHARS = 16_000_000
+GROUP_CHARS = 4_000_000
+#: ... and so many texts at once: each has ``samples`` steps to look up, whatever its length.
+GROUP_TEXTS = 1_500
 #: Below so many running walks a plain loop is quicker than an array step.
 FEW = 24
 STEPS = 64
@@ -95,7 +97,7 @@ class EditEmbedding:
         for i, text in enumerate(texts):
             group.append(i)
             held += len(text)
-            if held >= GROUP_CHARS or i + 1 == len(texts):
+            if held >= GROUP_CHARS or len(group) >= GROUP_TEXTS or i + 1 == len(texts):
                 self._walk_group(texts, scales, group, out)
                 group, held = [], 0
         return out
@@ -292,7 +294,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 held.append(row)
                 size += len(row[1])
-                if size >= GROUP_CHARS // 2:
+                if size >= GROUP_CHARS or len(held) > GROUP_TEXTS:
                     yield flush()
                     held, size = [row], len(row[1])
         if held:
