@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, chat, fingerprint, tokenfile
+from chronofold.llm import bpe, chat, decontaminate, fingerprint, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,35 @@ def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_tokenfile": op4_tokenfile,
+    "op5_decontaminate": op5_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+        b AS MATERIALIZED (SELECT item_id, {_WORDS.format(text="text")} AS w FROM benchmark),
+        item_windows AS MATERIALIZED (
+            SELECT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS v
+            FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+        places AS (
+            SELECT doc_id, n, i, w[i : i + n - 1] AS v
+            FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+        met AS MATERIALIZED (SELECT doc_id, item_id, i, places.n FROM places JOIN item_windows ON places.v = item_windows.v),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM met) GROUP BY doc_id),
+        told AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN told USING (doc_id)
+    """,
+}
