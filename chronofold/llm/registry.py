@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, chat, decontaminate, fingerprint, tokenfile
+from chronofold.llm import bpe, chat, decontaminate, fingerprint, secretscan, sharding, simhash, tokenfile
+from chronofold.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,17 +38,48 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(_table(spark, sf_dir, "documents")).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: Documents reach the store in so many arrivals, dealt by doc_id.
+ARRIVALS = 8
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    arrival = F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)).cast("int")
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
+    store.append(docs.withColumn("arrival", arrival).withColumn("_arrival", arrival), arrivals="_arrival")
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "arrival", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_tokenfile": op4_tokenfile,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secretscan": op6_secretscan,
+    "op8_simhash": op8_simhash,
+    "op10_sharding": op10_sharding,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 SQL: dict[str, str] = {
+    "op10_sharding": """
+        SELECT doc_id, CAST(coalesce(doc_id % 8, 0) AS INTEGER) AS arrival, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+    """,
     "op5_decontaminate": f"""
         WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
         b AS MATERIALIZED (SELECT item_id, {_WORDS.format(text="text")} AS w FROM benchmark),
