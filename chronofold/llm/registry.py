@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, chat, decontaminate, fingerprint, secretscan, sharding, simhash, tokenfile
+from chronofold.llm import bpe, chat, decontaminate, fingerprint, htmltext, quality, secretscan, sharding, simhash, tokenfile
 from chronofold.session import scratch_path
 
 
@@ -42,10 +42,19 @@ def op6_secretscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents")).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 #: Documents reach the store in so many arrivals, dealt by doc_id.
 ARRIVALS = 8
 
@@ -68,7 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tokenfile": op4_tokenfile,
     "op5_decontaminate": op5_decontaminate,
     "op6_secretscan": op6_secretscan,
+    "op7_htmltext": op7_htmltext,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 
