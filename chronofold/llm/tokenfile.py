@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ END_ID = 2
 SHARD_IDS = 1_000_000
 BLOCK = 2048
 #: Stretches of text whose ids a worker keeps at most; then it starts afresh.
-CACHE_STRETCHES = 800_000
+CACHE_STRETCHES = 1_200_000
 #: Texts encoded at once.
 BATCH_TEXTS = 500
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -43,12 +44,12 @@ class Wavelet:
     def of(cls, ids: np.ndarray) -> Wavelet:
         seq, planes, ranks = ids.astype(np.uint16), [], []
         for shift in reversed(range(BITS)):
-            bit = (seq >> shift & 1).astype(bool)
+            bit = (seq & np.uint16(1 << shift)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(packed)
             blocks = np.add.reduceat(_ONES[packed], np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if len(packed) else np.empty(0, np.int64)
             ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype(np.uint32))
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            seq = np.concatenate([seq.compress(~bit), seq.compress(bit)])
         return cls(len(ids), planes, ranks)
 
     def to_bytes(self) -> bytes:
@@ -117,66 +118,87 @@ class Wavelet:
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(seq)
             zeros = self.zeros[level]
-            up[~bit] = seq[:zeros]
-            up[bit] = seq[zeros:] | np.uint16(1 << (BITS - 1 - level))
+            up[np.flatnonzero(~bit)] = seq[:zeros]
+            up[np.flatnonzero(bit)] = seq[zeros:] | np.uint16(1 << (BITS - 1 - level))
             seq = up
         return seq
 
 
+class _Known(dict):
+    """Packed ids of stretches of text, each worked out by the library when it is met first."""
+
+    def __init__(self, encoder: LibraryEncoder, blank: str):
+        self.encoder, self.blank = encoder, blank
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= CACHE_STRETCHES:
+            self.clear()
+        ids = self.encoder.stretch(part, self.blank)
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
+
+
 class LibraryEncoder:
     """Encodes with the tokenizers library, each distinct stretch of text once.
 
     A byte-level pre-tokeniser always cuts before a blank that follows a character other than white space, so what
-    stands between such blanks can be encoded apart, or next to any other stretch. The new stretches of a batch of texts
-    go to the library as one text; its ids fall apart again where a token begins with a blank. A text in which a blank
-    follows white space goes to the library whole.
+    stands between such blanks can be encoded apart. It cuts as well around a lone line feed and between letters and the
+    marks that end a word; a word of letters alone is one piece and goes to the library's BPE model as it is. A text in
+    which a blank follows white space, and any other stretch, goes through the library whole.
     """
 
     _HARD = re.compile(r"\s ")
+    #: Marks at a word's end that are encoded apart; no apostrophe, which may belong to a contraction.
+    _MARKS = ".,;:!?*#$%&|()"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tool.model
         size = self.tool.get_vocab_size()
         if size > 1 << BITS:
             raise ValueError(f"ids of this vocabulary have more than {BITS} bits")
-        blank = self.tool.encode(" ", add_special_tokens=False).tokens[0]  # how this vocabulary writes a blank
-        self.blank_first = np.array([(self.tool.id_to_token(i) or "").startswith(blank) for i in range(size)])
+        self.two = [np.uint16(i).tobytes() for i in range(size)]
+        # how this vocabulary writes each byte: printable ones as they are, the others as the characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(others)}}
+        self.blank = self.letters[32]
+        self.known, self.bare = _Known(self, " "), _Known(self, "")
+        self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
-        if len(known) + len(new) > CACHE_STRETCHES:
-            known.clear()
-        for part in [p for p in new if not p or p[-1].isspace()]:
-            known[part] = self.whole(" " + part)
-            new.discard(part)
-        rest = list(new)
-        for at in range(0, len(rest), 5000):
-            parts = rest[at : at + 5000]
-            ids = np.array(self.tool.encode(" " + " ".join(parts), add_special_tokens=False).ids, np.uint16)
-            starts = np.flatnonzero(self.blank_first[ids]).tolist()
-            assert len(starts) == len(parts)
-            packed = ids.tobytes()
-            for part, a, b in zip(parts, starts, [*starts[1:], len(ids)]):
-                known[part] = packed[2 * a : 2 * b]
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit integers."""
-        hard = self._HARD
-        split = [None if hard.search(t) else t.split(" ") for t in texts]
-        known, new = self.known, set()
-        for parts in split:
-            if parts:
-                new.update([p for p in parts[1:] if p not in known])
-        if len(known) + len(new) > CACHE_STRETCHES:
-            new = {p for parts in split if parts for p in parts[1:]}
-        self._learn(new)
-        return [self.whole(t) if parts is None else b"".join([self.whole(parts[0]), *[known[p] for p in parts[1:]]]) for t, parts in zip(texts, split)]
+    def _word(self, word: str, blank: str) -> bytes:
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        two = self.two
+        return b"".join([two[t.id] for t in self.model.tokenize(self.blank + written if blank else written)])
+
+    def stretch(self, part: str, blank: str) -> bytes:
+        """Ids of a stretch that holds no blank, with one before it or none."""
+        stem = part.rstrip(self._MARKS)
+        if stem.isalpha():
+            return self._word(stem, blank) if stem == part else (self.known if blank else self.bare)[stem] + self.bare[part[len(stem) :]]
+        head, feed, rest = part.partition("\n")
+        if feed and head.isprintable() and rest.isprintable() and head and rest:  # printable: no white space
+            return (self.known if blank else self.bare)[head] + self.feed + self.bare[rest]
+        return self.whole(blank + part)
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 16-bit integers."""
+        if self._HARD.search(text):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        return b"".join([self.bare[first] if first else b"", *map(self.known.__getitem__, rest)])
+
+
+@lru_cache(2)
+def _encoder(path: str) -> LibraryEncoder:
+    """One for each worker process, whose cache lasts over its tasks."""
+    return LibraryEncoder(path)
 
 
 def _vocabulary(path: str | None) -> str:
@@ -199,11 +221,11 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     closing = np.array([end_id], np.uint16).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = LibraryEncoder(vocab)
+        tool = _encoder(vocab)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(at, BATCH_TEXTS)
-                ids = [x + closing for x in tool.packed([t or "" for t in part.column(2).to_pylist()])]
+                ids = [tool.packed(t or "") + closing for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["id", "bucket", "ids"])
 
     placed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", bucket_of("id", cuts).cast("int").alias("bucket"), "text")
