@@ -99,7 +99,7 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return labels
 
 
-def louvain(edges: DataFrame, levels: int = 5, rounds: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     """(entity_id, community) by modularity: nodes move to the neighbouring community of largest gain, then communities become nodes.
 
     Deterministic: in a round only nodes of one half (by hash and round) move, all at once, of equal gains to the smallest.
@@ -113,7 +113,7 @@ def louvain(edges: DataFrame, levels: int = 5, rounds: int = 10) -> DataFrame:
         if not total:
             break
         home = cut(degree.select("n", F.col("n").alias("c"), "k"))
-        moved_ever = False
+        moved_ever, still = False, 0
         for r in range(rounds):
             weight = home.groupBy("c").agg(F.sum("k").alias("tot"))
             toward = links.join(home.select(F.col("n").alias("target_id"), "c"), "target_id").filter("source_id != target_id").groupBy(F.col("source_id").alias("n"), "c").agg(F.sum("w").alias("w"))
@@ -126,7 +126,8 @@ def louvain(edges: DataFrame, levels: int = 5, rounds: int = 10) -> DataFrame:
             moved = not new.filter("moved").isEmpty()
             home = new.drop("moved")
             moved_ever = moved_ever or moved
-            if not moved and r:
+            still = 0 if moved else still + 1
+            if still == 2:  # neither half has moved
                 break
         if not moved_ever:
             break

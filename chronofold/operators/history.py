@@ -53,7 +53,8 @@ def tombstones(history: DataFrame, key: str, merged: DataFrame) -> DataFrame:
     """Open rows of entities in ``merged`` (from_entity_id, into_entity_id, at) end at that time and name the winner; into null: erased."""
     joined = history.join(merged.select(F.col("from_entity_id").alias(key), F.col("into_entity_id").alias("_into"), F.col("at").alias("_at")), key, "left")
     open_row = F.col("valid_to").isNull() & F.col("_at").isNotNull()
-    return joined.withColumn("valid_to", F.when(open_row, F.greatest("_at", "valid_from")).otherwise(F.col("valid_to"))).withColumn("merged_into", F.when(open_row, F.col("_into")).otherwise(F.col("merged_into"))).select(*history.columns)
+    ended = {"valid_to": F.when(open_row, F.greatest("_at", "valid_from")).otherwise(F.col("valid_to")), "merged_into": F.when(open_row, F.col("_into")).otherwise(F.col("merged_into"))}
+    return joined.select(*(ended[c].alias(c) if c in ended else F.col(c) for c in history.columns))
 
 
 def current(history: DataFrame) -> DataFrame:

@@ -339,5 +339,6 @@ def fold_entities(events: DataFrame, fold: EntityFold, by: str = "entity_id") ->
     wanted = ["ts", "seq", "event_type", "event_id", "data", *links(fold.entity)]
     handled = events.filter(F.col("event_type").isin(sorted(fold.entity.event_types()))) if not fold.has_rules else events
     gathered = handled.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*wanted))).alias("_events"))
-    folded = gathered.select(by, fold.fold(F.col("_events")).alias("_f"))
-    return folded.select(by, F.col("_f.s").alias("s"), F.col("_f.snaps").alias("snaps"), F.col("_f.s.err").alias("err"))
+    # one row out for each row in, so that a filter on the outcome does not fold a second time
+    folded = gathered.select(by, F.inline(F.array(fold.fold(F.col("_events")))))
+    return folded.select(by, "s", "snaps", F.col("s.err").alias("err"))

@@ -21,14 +21,30 @@ def json_path(path: str) -> str:
 
 
 class _Json:
-    """A place in the raw event: its JSON type and its text."""
+    """A place in the raw event: columns with its JSON type and its text."""
 
-    def __init__(self, variant: Column, path: str):
-        found = F.try_variant_get(variant, json_path(path), "variant")
-        self.type = F.coalesce(F.schema_of_variant(found), F.lit("VOID"))
-        self.plain = ~(self.type.startswith("OBJECT") | self.type.startswith("ARRAY") | (self.type == "VOID"))
-        self.text = F.when(self.plain, F.try_variant_get(found, "$", "string"))
-        self.is_number = self.type.startswith("BIGINT") | self.type.startswith("DECIMAL") | (self.type == "DOUBLE") | (self.type == "FLOAT")
+    def __init__(self, type: Column, text: Column):
+        self.type, self.text = type, text
+        self.is_number = type.startswith("BIGINT") | type.startswith("DECIMAL") | (type == "DOUBLE") | (type == "FLOAT")
+
+
+class _Places:
+    """The places of a raw event that a source looks at. Each is looked up once, in a projection of its own."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, int] = {}
+
+    def at(self, path: str) -> _Json:
+        i = self.paths.setdefault(path, len(self.paths))
+        return _Json(F.col(f"_t{i}"), F.col(f"_x{i}"))
+
+    def stage(self, df: DataFrame, raw_col: str) -> DataFrame:
+        df = df.withColumn("_v", F.try_parse_json(F.col(f"`{raw_col}`")))
+        df = df.withColumns({f"_s{i}": F.try_variant_get("_v", json_path(path), "variant") for path, i in self.paths.items()})
+        kinds = {f"_t{i}": F.coalesce(F.schema_of_variant(f"_s{i}"), F.lit("VOID")) for i in self.paths.values()}
+        df = df.withColumns(kinds)
+        plain = lambda i: ~(F.col(f"_t{i}").startswith("OBJECT") | F.col(f"_t{i}").startswith("ARRAY") | (F.col(f"_t{i}") == "VOID"))
+        return df.withColumns({f"_x{i}": F.when(plain(i), F.try_variant_get(f"_s{i}", "$", "string")) for i in self.paths.values()})
 
 
 def read_timestamp(at: _Json) -> Column:
@@ -87,18 +103,18 @@ class Normalizer:
         """The type of ``data``: all mapped fields of all sources."""
         return "struct<" + ",".join(f"`{k}`:{spark_type(v)}" for k, v in sorted(self.kinds.items())) + ">" if self.kinds else "struct<_none:string>"
 
-    def _fields(self, event: SourceEvent, variant: Column) -> dict[str, tuple[Column, str, Column | None, Column | None]]:
+    def _fields(self, event: SourceEvent, places: _Places) -> dict[str, tuple[Column, str, Column | None, Column | None]]:
         """name: (value, kind, error, JSON type where the kind is unknown) of each mapped field."""
         found = {}
         for name, mapping in event.mappings.items():
             kind, default = mapping.get("type"), mapping.get("default")
             json_type = None
             if "from" in mapping:
-                at = _Json(variant, str(mapping["from"]))
+                at = places.at(str(mapping["from"]))
                 value, error = coerce_json(at, kind)
                 json_type = at.type if kind is None else None
             elif "compute" in mapping:
-                typed = Compiler(self._raw_env(variant), self.now)(mapping["compute"])
+                typed = Compiler(self._raw_env(places), self.now)(mapping["compute"])
                 value, error = self._as(typed, kind)
                 kind = kind or typed.kind
                 json_type = None
@@ -117,8 +133,8 @@ class Normalizer:
         return value, first_error(typed.error, F.when(typed.value.isNotNull() & value.isNull(), F.lit(f"cannot read as {kind}")))
 
     @staticmethod
-    def _raw_env(variant: Column) -> Callable[[tuple[str, ...]], Typed | None]:
-        return lambda path: Typed(_Json(variant, ".".join(path[1:])).text, "any") if path[0] == "event" and len(path) > 1 else None
+    def _raw_env(places: _Places) -> Callable[[tuple[str, ...]], Typed | None]:
+        return lambda path: Typed(places.at(".".join(path[1:])).text, "any") if path[0] == "event" and len(path) > 1 else None
 
     def _hints(self, event: SourceEvent, fields: dict) -> Column:
         found = []
@@ -146,7 +162,7 @@ class Normalizer:
     def _event_id(self, source: Source, event: SourceEvent, fields: dict) -> Column:
         names = sorted(source.event_id or fields)
         parts = [F.concat(F.lit(f"[{json.dumps(n)},"), _tagged(fields[n][0], fields[n][1], fields[n][3]) if n in fields else F.lit('"Null"'), F.lit("]")) for n in names]
-        body = F.concat(F.lit(f"{event.name}|["), F.concat_ws(",", *parts), F.lit("]"))
+        body = F.concat(F.col("_name"), F.lit("|["), F.concat_ws(",", *parts), F.lit("]"))
         return F.concat(F.lit("e_"), F.sha2(body, 256))
 
     def normalize(self, raw: DataFrame, source: str, raw_col: str = "raw") -> DataFrame:
@@ -155,40 +171,54 @@ class Normalizer:
         raw_col: the event as JSON text. Null, malformed and unknown events are errors; other columns stay.
         """
         spec = self.definitions.sources[source]
-        variant = F.try_parse_json(F.col(raw_col))
-        raw_type = _Json(variant, spec.event_type)
-        at = _Json(variant, spec.timestamp)
-        names = {e.raw_type or e.name: e for e in spec.events.values()}
-        cases: list[tuple[Column, Column]] = []
-        for told, event in names.items():
-            fields = self._fields(event, variant)
-            data = F.struct(*((self._carry(*fields[k][:2], self.kinds[k]) if k in fields else F.lit(None)).cast(spark_type(self.kinds[k])).alias(k) for k in sorted(self.kinds))) if self.kinds else F.struct(F.lit(None).cast("string").alias("_none"))
-            error = first_error(*(F.when(e.isNotNull(), F.concat(F.lit(f"field '{k}': "), e)) for k, (_, _, e, _) in fields.items() if e is not None))
-            made = F.struct(self._event_id(spec, event, fields).alias("event_id"), F.lit(event.name).alias("event_type"), data.alias("data"), self._hints(event, fields).alias("hints"), (error if error is not None else F.lit(None)).cast("string").alias("error"))
-            cases.append((raw_type.text == told, made))
-        chosen: Column | None = None
-        for test, made in cases:
-            chosen = F.when(test, made) if chosen is None else chosen.when(test, made)
-        staged = raw.withColumn("_e", chosen if chosen is not None else F.lit(None)).withColumn("_ts", read_timestamp(at)).withColumn("_type", raw_type.text)
+        places = _Places()
+        raw_type, at = places.at(spec.event_type), places.at(spec.timestamp)
+        # events with the same mappings and hints are one case
+        groups: dict[str, list[SourceEvent]] = {}
+        for event in spec.events.values():
+            groups.setdefault(json.dumps([event.mappings, event.hints], sort_keys=True, default=str), []).append(event)
+        cases = []
+        for events in groups.values():
+            fields = self._fields(events[0], places)
+            cases.append((F.col("_name").isin(*(e.name for e in events)), events[0], fields))
+
+        def choose(make: Callable[[SourceEvent, dict], Column | None], kind: str) -> Column:
+            found: Column | None = None
+            for test, event, fields in cases:
+                value = make(event, fields)
+                if value is not None:
+                    found = F.when(test, value) if found is None else found.when(test, value)
+            return (found if found is not None else F.lit(None)).cast(kind)
+
+        def one(name: str) -> Column:
+            return choose(lambda _, f: self._carry(*f[name][:2], self.kinds[name]) if name in f else None, spark_type(self.kinds[name]))
+
+        def wrong(_: SourceEvent, fields: dict) -> Column | None:
+            return first_error(*(F.when(e.isNotNull(), F.concat(F.lit(f"field '{k}': "), e)) for k, (_, _, e, _) in fields.items() if e is not None))
+
+        names = F.create_map(*(x for e in spec.events.values() for x in (F.lit(e.raw_type or e.name), F.lit(e.name)))) if spec.events else F.create_map()
+        staged = places.stage(raw, raw_col).withColumn("_name", F.get(F.map_values(F.map_filter(names, lambda k, _: k == raw_type.text)), 0) if spec.events else F.lit(None).cast("string"))
+        data = F.struct(*(one(k).alias(k) for k in sorted(self.kinds))) if self.kinds else F.struct(F.lit(None).cast("string").alias("_none"))
+        made = staged.withColumns({"_ts": read_timestamp(at), "_wrong": choose(wrong, "string"), "_data": data, "_hints": choose(self._hints, f"array<{HINT}>"), "_id": choose(lambda e, f: self._event_id(spec, e, f), "string")})
         error = F.coalesce(
-            F.when(variant.isNull(), F.lit("not a JSON event")),
-            F.when(F.col("_type").isNull(), F.lit(f"missing event type field '{spec.event_type}'")),
-            F.when(F.col("_e").isNull(), F.concat(F.lit("unknown event type: "), F.col("_type"))),
+            F.when(F.col("_v").isNull(), F.lit("not a JSON event")),
+            F.when(raw_type.text.isNull(), F.lit(f"missing event type field '{spec.event_type}'")),
+            F.when(F.col("_name").isNull(), F.concat(F.lit("unknown event type: "), raw_type.text)),
             F.when(F.col("_ts").isNull(), F.lit(f"missing or malformed timestamp '{spec.timestamp}'")),
-            F.col("_e.error"),
+            F.col("_wrong"),
         )
-        ok = error.isNull()
         keep = [F.col(f"`{c}`") for c in raw.columns if c not in ("event_id", "event_type", "ts", "source", "data", "hints", "error")]
-        return staged.select(
-            *keep,
-            F.when(ok, F.col("_e.event_id")).alias("event_id"),
-            F.col("_e.event_type").alias("event_type"),
+        # one row out for each row in; a filter on what comes out (as on the error) is not rewritten in terms of the raw text
+        row = F.struct(
+            F.when(error.isNull(), F.col("_id")).alias("event_id"),
+            F.col("_name").alias("event_type"),
             F.col("_ts").alias("ts"),
             F.lit(source).alias("source"),
-            F.col("_e.data").alias("data"),
-            F.coalesce(F.col("_e.hints"), F.array().cast(f"array<{HINT}>")).alias("hints"),
+            F.col("_data").alias("data"),
+            F.coalesce("_hints", F.array().cast(f"array<{HINT}>")).alias("hints"),
             error.alias("error"),
         )
+        return made.select(*keep, F.inline(F.array(row)))
 
     @staticmethod
     def _carry(value: Column, kind: str, to: str) -> Column:
