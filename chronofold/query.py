@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.errors import QueryError
@@ -21,7 +21,9 @@ class Table:
         self.df, self.entity, self._full, self._text = df, entity, full if full is not None else df, text
 
     def _wrap(self, found: Any) -> Any:
-        return Table(found, self.entity, self._full, self._text) if isinstance(found, DataFrame) else found
+        if isinstance(found, DataFrame):
+            return Table(found, self.entity, self._full, self._text)
+        return Grouped(found, self) if isinstance(found, GroupedData) else found
 
     def __getattr__(self, name: str) -> Any:
         if name.startswith("__"):
@@ -70,6 +72,17 @@ class Table:
         return self._text or self.df._jdf.queryExecution().simpleString()
 
 
+class Grouped:
+    """Grouped rows of a table, whose aggregates are tables again."""
+
+    def __init__(self, groups: GroupedData, table: Table):
+        self._groups, self._table = groups, table
+
+    def __getattr__(self, name: str) -> Any:
+        found = getattr(self._groups, name)
+        return (lambda *args, **named: self._table._wrap(found(*args, **named))) if callable(found) else found
+
+
 class Collection:
     """Several tables at once, and the relationships between their entities."""
 
