@@ -14,7 +14,7 @@ from chronofold.operators import identity as I
 from chronofold.plans.definitions import Definitions
 from chronofold.plans.fold import EntityFold, fold_entities
 from chronofold.query import Table, Views
-from chronofold.session import cut
+from chronofold.session import cut, spread
 from chronofold.sources.normalize import Normalizer, failures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,7 +94,7 @@ USER_DEFS = Definitions(
 
 def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as raw JSON, in the order of its ids."""
-    e = _t(spark, sf_dir, "events")
+    e = spread(_t(spark, sf_dir, "events"))
     body = F.struct(
         F.col("event_type").alias("type"),
         F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("at"),
@@ -426,7 +426,7 @@ ORDER_DEFS = Definitions(
 def _order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = Normalizer(ORDER_DEFS)
     at = lambda c: F.concat(F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("at")
-    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    o, li = spread(_t(spark, sf_dir, "orders")), spread(_t(spark, sf_dir, "lineitem"))
     placed = o.select(F.col("o_orderkey").alias("sequence"), F.to_json(F.struct(F.lit("placed").alias("type"), at("o_orderdate"), F.concat(F.lit("o"), "o_orderkey").alias("order"), F.concat(F.lit("c"), "o_custkey").alias("customer"), F.col("o_totalprice").alias("total"))).alias("raw"))
     shipped = li.select((F.lit(10**12) + F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("sequence"), F.to_json(F.struct(F.lit("shipped").alias("type"), at("l_shipdate"), F.concat(F.lit("o"), "l_orderkey").alias("order"), F.col("l_linenumber").alias("line"))).alias("raw"))
     return norm.normalize(placed, "shop").unionByName(norm.normalize(shipped, "dock")).filter("error is null").drop("raw", "error")

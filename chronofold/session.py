@@ -45,3 +45,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Spark's file system, wherever it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make for fewer than half as many tasks; larger inputs stay as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(want) if 2 * have <= want else df
