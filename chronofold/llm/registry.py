@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import bpe, chat, decontaminate, fingerprint, htmltext, quality, secretscan, sharding, simhash, tokenfile
-from chronofold.session import scratch_path
+from chronofold.session import scratch_path, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
