@@ -53,6 +53,7 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, section
         self.parents: list[int] = [-1]  # section 0 is the page
         self.kinds: list[str] = ["page"]
+        self.in_article: list[bool] = [False]  # for each section: it is an article or main, or lies in one
         self.lines: list[tuple[str, int, int, bool, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
@@ -84,7 +85,7 @@ class _Lines(HTMLParser):
         _, hidden, furniture, section = self.open[-1] if self.open else ("", False, False, 0)
         hidden = hidden or tag in HIDDEN
         own = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
-        in_article = any(self.kinds[s] in ("article", "main") for s in self._path(section))
+        in_article = self.in_article[section]
         names = f"{own.get('class', '')} {own.get('id', '')}"
         marked = bool(NAMES.search(names)) and not OWN.search(names) or re.search(r"(?:^|[\s_-])(?:comment|comments|sidebar|related|footer)(?:$|[\s_-])", names, re.IGNORECASE) is not None
         if tag in ("html", "body", "article", "main"):
@@ -95,15 +96,11 @@ class _Lines(HTMLParser):
         if tag in SECTIONS:
             self.parents.append(section)
             self.kinds.append(tag)
+            self.in_article.append(in_article or tag in ("article", "main"))
             section = len(self.parents) - 1
         self.links += tag == "a"
         self.open.append((tag, hidden, furniture, section))
 
-    def _path(self, section: int) -> Iterator[int]:
-        while section >= 0:
-            yield section
-            section = self.parents[section]
-
     def _end_nearest(self, kinds: set[str], within: set[str] | frozenset[str]) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in kinds:
@@ -169,26 +166,48 @@ def main_text(html: str) -> str:
     top = (smooth > _two_means(smooth)) & free if smooth.max() > smooth.min() else free
     if not top.any():
         top = free
-    mass: dict[int, float] = {}
+    n = len(page.parents)
+    mass, nested = [0.0] * n, [False] * n
     for (text, _, linked, _, section, _), chosen in zip(lines, top):
-        if chosen:
-            for s in page._path(section):
-                mass[s] = mass.get(s, 0) + len(text) - linked
-    whole = mass.get(0, 0.0)
-    articles = [s for s in mass if page.kinds[s] in ("article", "main") and not any(page.kinds[p] == "article" for p in page._path(page.parents[s]))]
+        mass[section] += (len(text) - linked) if chosen else 0
+    for s in range(n - 1, 0, -1):  # a section comes after the one that holds it
+        mass[page.parents[s]] += mass[s]
+    for s in range(1, n):
+        nested[s] = nested[page.parents[s]] or page.kinds[page.parents[s]] == "article"
+    articles = [s for s in range(n) if mass[s] > 0 and page.kinds[s] in ("article", "main") and not nested[s]]
     named = [s for s in articles if page.kinds[s] == "article"] or articles
-    best = max((mass[s] for s in named), default=0)
-    if best >= 0.2 * whole and best > 0:
+    best = max((mass[s] for s in named), default=0.0)
+    if best >= 0.2 * mass[0] and best > 0:
         roots = {s for s in named if mass[s] >= 0.25 * best}
     else:
-        root = 0
-        while deeper := [s for s in mass if page.parents[s] == root and mass[s] >= 0.8 * whole]:
-            outside = [line for line, ok in zip(lines, free) if ok and root in page._path(line[4]) and deeper[0] not in page._path(line[4])]
-            if outside and all(heading for *_, heading in outside):
-                break  # only the headings of what lies below
-            root = deeper[0]
-        roots = {root}
-    return " ".join(text for (text, _, _, _, section, _), ok in zip(lines, free) if ok and any(s in roots for s in page._path(section)))
+        roots = {_densest(page, lines, free, mass)}
+    chosen_sections = [False] * n
+    for s in range(n):
+        chosen_sections[s] = s in roots or s > 0 and chosen_sections[page.parents[s]]
+    return " ".join(text for (text, _, _, _, section, _), ok in zip(lines, free) if ok and chosen_sections[section])
+
+
+def _densest(page: _Lines, lines: list, free: np.ndarray, mass: list[float]) -> int:
+    """The innermost section with most of the page's content; not further in where only headings would be left outside."""
+    children: dict[int, list[int]] = {}
+    for s in range(1, len(mass)):
+        if mass[s] >= 0.8 * mass[0]:
+            children.setdefault(page.parents[s], []).append(s)
+    chain = [0]
+    while own := children.get(chain[-1]):
+        chain.append(own[0])
+    depth = {s: k for k, s in enumerate(chain)}
+    at = [0] * len(mass)  # how far in along the chain a section lies
+    for s in range(1, len(mass)):
+        at[s] = depth.get(s, at[page.parents[s]])
+    outside: list[list[bool]] = [[] for _ in chain]
+    for (*_, section, heading), ok in zip(lines, free):
+        if ok:
+            outside[at[section]].append(heading)
+    for k, found in enumerate(outside[:-1]):
+        if found and all(found):
+            return chain[k]
+    return chain[-1]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
