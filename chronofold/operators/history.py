@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.plans import longfold
 from chronofold.plans.definitions import Entity
 from chronofold.plans.fold import EntityFold, fold_entities, history_of
+from chronofold.session import store
 
 
 def entity_rows(folded: DataFrame, entity: Entity) -> DataFrame:
@@ -26,20 +28,39 @@ def entity_rows(folded: DataFrame, entity: Entity) -> DataFrame:
     )
 
 
-def relationship_rows(folded: DataFrame) -> DataFrame:
-    """(source_id, target_id, relationship_type, valid_from, valid_to): one row for each time a relationship was stated."""
+def _stated(folded: DataFrame) -> DataFrame:
     each = folded.filter("err is null").select("entity_id", F.explode("snaps").alias("s")).filter(F.size("s.rels") > 0)
     told = each.select("entity_id", F.col("s.valid_from").alias("valid_from"), F.explode("s.rels").alias("r"))
-    rows = told.select(F.col("entity_id").alias("source_id"), F.col("r.target_id").alias("target_id"), F.col("r.relation").alias("relationship_type"), "valid_from").distinct()
+    return told.select(F.col("entity_id").alias("source_id"), F.col("r.target_id").alias("target_id"), F.col("r.relation").alias("relationship_type"), "valid_from")
+
+
+def _ended(stated: DataFrame) -> DataFrame:
     w = Window.partitionBy("relationship_type", "source_id", "target_id").orderBy("valid_from")
-    return rows.withColumn("valid_to", F.lead("valid_from").over(w))
+    return stated.distinct().withColumn("valid_to", F.lead("valid_from").over(w))
 
 
-def build_history(events: DataFrame, fold: EntityFold) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(history, relationships, failed entities) from events with their entity ids."""
-    folded = fold_entities(events, fold)
-    failed = folded.filter("err is not null").select("entity_id", F.lit(fold.entity.name).alias("entity_type"), F.col("err").alias("error"))
-    return entity_rows(folded, fold.entity), relationship_rows(folded), failed
+def relationship_rows(folded: DataFrame) -> DataFrame:
+    """(source_id, target_id, relationship_type, valid_from, valid_to): one row for each time a relationship was stated."""
+    return _ended(_stated(folded))
+
+
+def build_history(events: DataFrame, fold: EntityFold, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(history, relationships, failed entities) from events with their entity ids.
+
+    Entities with more than ``limit`` events (by default ``longfold.LONG``) are folded in order from a sorted partition
+    and never held in one array; all others by the Catalyst fold.
+    """
+    entity = fold.entity
+    long = longfold.long_entities(events, limit)
+    short = events.filter(~F.col("entity_id").isin(long)) if long else events
+    folded = fold_entities(short, fold)
+    failed = folded.filter("err is not null").select("entity_id", F.lit(entity.name).alias("entity_type"), F.col("err").alias("error"))
+    rows, relations = entity_rows(folded, entity), _stated(folded)
+    if long:
+        found = store(longfold.fold_in_order(events.filter(F.col("entity_id").isin(long)), entity), "long")
+        more_rows, more_relations, more_failed = longfold.split_out(found, entity)
+        rows, relations, failed = rows.unionByName(more_rows), relations.unionByName(more_relations), failed.unionByName(more_failed)
+    return rows, _ended(relations), failed
 
 
 def close_and_insert(snapshots: DataFrame, key: str, at: str = "valid_from", order: list[str] | None = None) -> DataFrame:

@@ -144,3 +144,17 @@ def test_tombstones_and_merges(spark):
     assert sorted((r["x_id"], r["merged_into"]) for r in ended.filter("merged_into is not null").collect()) == [("b", "a")]
     assert H.current(ended).count() == 1
     assert H.resolve_merges(H.current(ended), ended, "x_id").count() == 3
+
+
+@pytest.mark.parametrize("seed", [2, 3, 7, 12])
+def test_long_entities_give_the_same_rows(spark, seed):
+    r = random.Random(seed)
+    entity, events = random_machine(r), random_events(r)
+    frame = events_frame(spark, events)
+    fold = EntityFold(entity, KINDS)
+    want, _, want_failed = H.build_history(frame, fold, limit=10**9)
+    got, _, got_failed = H.build_history(frame, fold, limit=10)
+    order = ["thing_id", "valid_from"]
+    plain = lambda df: sorted(repr(tuple(x)) for x in df.orderBy(*order).collect())
+    assert plain(got) == plain(want)
+    assert {x["entity_id"] for x in got_failed.collect()} == {x["entity_id"] for x in want_failed.collect()}
