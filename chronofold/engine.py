@@ -47,7 +47,7 @@ def _utc(at: datetime | str | None) -> datetime:
 
 
 class Engine:
-    """definitions: a dict, a folder of YAML, or Definitions; root: the folder of the store; dead_letter: a folder for failures."""
+    """definitions: a dict, a folder of YAML, or Definitions; root: the folder of the store; dead_letter: a folder for failures; strict: refuse events that do not fit their schemas."""
 
     def __init__(self, spark: SparkSession, definitions: dict | str | Definitions | None, root: str, *, version: str | None = None, dead_letter: str | None = None, strict: bool = False):
         self.spark, self.root, self.dead_letter, self.strict = spark, root.rstrip("/"), dead_letter, strict
@@ -115,7 +115,7 @@ class Engine:
             raw = events.select("raw").withColumn("_at", F.monotonically_increasing_id())
         else:
             raw = self.spark.createDataFrame([(i, json.dumps(e, default=str)) for i, e in enumerate(events)], "_at long, raw string").select("raw", "_at")
-        staged_path = self._save(Normalizer(defs).normalize(raw, source).drop("data"), "staged")
+        staged_path = self._save(Normalizer(defs, strict=self.strict).normalize(raw, source).drop("data"), "staged")
         staged = self.spark.read.parquet(staged_path)
         failed_rows = failures(staged)
         n_failed = failed_rows.count()

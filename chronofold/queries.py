@@ -14,7 +14,7 @@ from chronofold.operators import identity as I
 from chronofold.plans.definitions import Definitions
 from chronofold.plans.fold import EntityFold, fold_entities
 from chronofold.query import Table, Views
-from chronofold.session import cut, spread
+from chronofold.session import cut, scratch_path, spread
 from chronofold.sources.normalize import Normalizer, failures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -761,4 +761,67 @@ def late_arrival_refold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _user_select(before.join(touched.withColumnRenamed("entity_id", "user_id"), "user_id", "left_anti").unionByName(again))
 
 
+_USER_ROWS = """user_id AS "user", state, CAST(purchases AS BIGINT) AS purchases, round(spent, 3) AS spent, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS valid_from FROM closed"""
+
+
+@_query(f"{_USER_RULES} SELECT {_USER_ROWS}")
+def stream_fold_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history from a stream: raw lines in files, a stateful fold, micro-batches of Parquet."""
+    from chronofold.streaming.stream import Consumer, fold_stream, read_raw
+
+    root = scratch_path(spark, "stream")
+    _raw_events(spark, sf_dir).select("raw").coalesce(1).write.text(f"{root}/raw")
+    normal = Normalizer(USER_DEFS).normalize(read_raw(spark, f"{root}/raw"), "web").filter("error is null")
+    keyed = normal.select(F.col("data.user").cast("string").alias("entity_id"), "ts", "event_type", "event_id", "data")
+    Consumer(fold_stream(keyed, USER_DEFS, "user"), f"{root}/out", f"{root}/checkpoint").run_once()
+    rows = spark.read.parquet(f"{root}/out").filter("not late and error is null")
+    p = F.from_json("properties", "user long, purchases long, spent double")
+    # of rows that begin at one time the first one stays, as in every history
+    return rows.withColumn("p", p).select("p.user", "state", "p.purchases", F.round("p.spent", 3).alias("spent"), _text(F.col("valid_from")).alias("valid_from"))
+
+
+@_query(f"{_USER_RULES} SELECT {_USER_OUT}")
+def engine_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history by way of a store: ingest, build, read the table."""
+    from chronofold.engine import Engine
+
+    data = USER_DEFS.to_dict()
+    for event in data["sources"]["web"]["events"].values():
+        event["mappings"]["moment"] = {"from": "at", "type": "string"}  # an event's id leaves out its time, but no mapped field
+    engine = Engine(spark, data, scratch_path(spark, "store"))
+    engine.ingest("web", _raw_events(spark, sf_dir).orderBy("sequence").select("raw"), process=True)
+    return _user_select(engine.history("user").df)
+
+
+@_query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def aggregate_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {"lineitem": _t(spark, sf_dir, "lineitem")}
+    return Views(spark, lambda: frames).query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())").df
+
+
+@_query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'purchase') AS purchase FROM events GROUP BY user_id")
+def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "purchase"]).count().na.fill(0)
+
+
+@_query("""
+    WITH w AS (SELECT date_trunc('hour', ts) - INTERVAL (k) HOUR AS start, value FROM events, range(4) r(k) WHERE (hour(ts) - k) % 2 = 0)
+    SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 3) AS total FROM w GROUP BY start
+""")
+def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("ts", "4 hours", "2 hours")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total")
+
+
+@_query("SELECT DISTINCT p_brand, p_size FROM part")
+def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_brand", "p_size").distinct()
+
+
+@_query("SELECT c_mktsegment, s_nationkey, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal GROUP BY ALL")
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal"))).groupBy("c_mktsegment", "s_nationkey").agg(F.count("*").alias("n"))
+
+
 FLAGSHIP = "time_rule_history"

@@ -95,9 +95,10 @@ def _tagged(value: Column, kind: str, json_type: Column | None) -> Column:
 class Normalizer:
     """Compiled mappings of a set of definitions."""
 
-    def __init__(self, definitions: Definitions, now: Column | None = None):
+    def __init__(self, definitions: Definitions, now: Column | None = None, strict: bool = False):
+        """strict: events must fit their schemas, too."""
         self.definitions, self.kinds = definitions, definitions.field_kinds()
-        self.now = now
+        self.now, self.strict = now, strict
 
     def schema(self) -> str:
         """The type of ``data``: all mapped fields of all sources."""
@@ -176,7 +177,7 @@ class Normalizer:
         # events with the same mappings and hints are one case
         groups: dict[str, list[SourceEvent]] = {}
         for event in spec.events.values():
-            groups.setdefault(json.dumps([event.mappings, event.hints], sort_keys=True, default=str), []).append(event)
+            groups.setdefault(json.dumps([event.mappings, event.hints, event.name if self.strict else ""], sort_keys=True, default=str), []).append(event)
         cases = []
         for events in groups.values():
             fields = self._fields(events[0], places)
@@ -193,8 +194,9 @@ class Normalizer:
         def one(name: str) -> Column:
             return choose(lambda _, f: self._carry(*f[name][:2], self.kinds[name]) if name in f else None, spark_type(self.kinds[name]))
 
-        def wrong(_: SourceEvent, fields: dict) -> Column | None:
-            return first_error(*(F.when(e.isNotNull(), F.concat(F.lit(f"field '{k}': "), e)) for k, (_, _, e, _) in fields.items() if e is not None))
+        def wrong(event: SourceEvent, fields: dict) -> Column | None:
+            misfits = self._misfits(event, fields) if self.strict else []
+            return first_error(*misfits, *(F.when(e.isNotNull(), F.concat(F.lit(f"field '{k}': "), e)) for k, (_, _, e, _) in fields.items() if e is not None))
 
         names = F.create_map(*(x for e in spec.events.values() for x in (F.lit(e.raw_type or e.name), F.lit(e.name)))) if spec.events else F.create_map()
         staged = places.stage(raw, raw_col).withColumn("_name", F.get(F.map_values(F.map_filter(names, lambda k, _: k == raw_type.text)), 0) if spec.events else F.lit(None).cast("string"))
@@ -220,6 +222,30 @@ class Normalizer:
         )
         return made.select(*keep, F.inline(F.array(row)))
 
+    def _misfits(self, event: SourceEvent, fields: dict) -> list[Column]:
+        """What is wrong with an event by its schema."""
+        schema = self.definitions.schemas.get(event.name)
+        found: list[Column] = []
+        for name, rule in (schema.fields if schema else {}).items():
+            if name not in fields:
+                continue
+            value, kind, _, _ = fields[name]
+            told = lambda test, what, name=name: found.append(F.when(test, F.lit(f"field '{name}': {what}")))
+            if rule.required:
+                told(value.isNull(), "required")
+            if rule.allowed is not None:
+                told(~as_text(value, kind).isin(*(str(a).lower() if isinstance(a, bool) else str(a) for a in rule.allowed)), "not an allowed value")
+            number = value.try_cast("double")
+            if rule.min is not None:
+                told(number < rule.min, f"below {rule.min}")
+            if rule.max is not None:
+                told(number > rule.max, f"above {rule.max}")
+            if rule.min_length is not None:
+                told(F.char_length(value.cast("string")) < rule.min_length, f"shorter than {rule.min_length}")
+            if rule.regex is not None:
+                told(~F.rlike(value.cast("string"), F.lit(rule.regex)), "does not match its pattern")
+        return found
+
     @staticmethod
     def _carry(value: Column, kind: str, to: str) -> Column:
         return value if kind == to else as_text(value, kind) if to in ("any", "string") else value

@@ -210,3 +210,20 @@ def test_manifests_never_overwrite(spark, tmp_path):
     with pytest.raises(StorageError):
         m.commit(0, {"a": 2})
     assert m.read() == (1, {"a": 1}) and m.versions() == [1]
+
+
+def test_strict_stores_hold_events_to_their_schemas(spark, tmp_path):
+    import copy
+
+    data = copy.deepcopy(SHOP)
+    data["schemas"] = {
+        "signup": {"fields": {"email": {"type": "string", "required": True, "regex": "@"}, "phone": {"type": "string", "min_length": 2}}},
+        "upgrade": {"fields": {"email": {"type": "string"}, "plan": {"type": "string", "allowed": ["pro", "max"]}, "paid": {"type": "number", "min": 1, "max": 99}}},
+        "ordered": {"fields": {"order": {"type": "string"}, "email": {"type": "string"}, "total": {"type": "number"}}},
+    }
+    at = "2024-01-03T10:00:00Z"
+    events = [signup("a@x.org", "12"), signup(None, "12"), signup("a.x.org", "12"), signup("a@x.org", "1"), upgrade("a@x.org", "free", 5, at), upgrade("a@x.org", "pro", 0.5, at), upgrade("a@x.org", "pro", 100, at), upgrade("a@x.org", "max", 99, at)]
+    done = Engine(spark, data, str(tmp_path / "strict"), strict=True).ingest("app", events)
+    assert done.events_ingested == 2
+    assert sorted(f.error for f in done.failures) == sorted(["field 'email': required", "field 'email': does not match its pattern", "field 'phone': shorter than 2", "field 'plan': not an allowed value", "field 'paid': below 1", "field 'paid': above 99"])
+    assert Engine(spark, data, str(tmp_path / "loose")).ingest("app", events).events_ingested == 8
