@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import ascii_lower
+from chronofold.session import cut
 
 WINDOW = 10
 #: Fixed value: what counts as a word.
@@ -21,6 +22,8 @@ BITS_PER_WINDOW = 64
 SET_WORDS = 1 << 17
 #: Windows are broadcast up to this many characters of text, and joined by a shuffle beyond it.
 BROADCAST_CHARS = 16_000_000
+#: Contaminated documents (an id and a digest each) are broadcast up to this many.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -121,7 +124,12 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """``docs`` without its contaminated rows, all columns kept. Cases as :func:`report`; texts are not shuffled unless the hits outgrow a broadcast."""
-    bad = hits(docs, items, id_col, text_col, size).filter(F.size("spans") > 0).select(F.col("id").alias("_bad_id"), F.col("digest").alias("_bad_digest"))
+    """``docs`` without its contaminated rows, all columns kept. Cases as :func:`report`.
+
+    The contaminated rows' ids are written first and counted: up to BROADCAST_ROWS of them go to all executors, so that
+    texts stay where they are; more of them are joined by a shuffle.
+    """
+    bad = cut(hits(docs, items, id_col, text_col, size).filter(F.size("spans") > 0).select(F.col("id").alias("_bad_id"), F.col("digest").alias("_bad_digest")))
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     digest = F.sha2(F.coalesce(docs[text_col], F.lit("\0null")), 256)
     return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad_id")) & (digest == F.col("_bad_digest")), "left_anti")

@@ -98,6 +98,7 @@ def test_hits_by_brute_force(spark, monkeypatch, path):
         monkeypatch.setattr(decontaminate, "SET_WORDS", 0)
     if path == "no broadcast":
         monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", -1)
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
     r = random.Random(8)
     word = lambda: r.choice(["a", "B", "c1", "é", "Ä", "中", "d-e", "f"])
     docs = [(k, " ".join(word() for _ in range(r.randint(0, 60)))) for k in range(40)] + [(7, None), (8, ""), (9, "a B c1"), (9, "a B c1"), (None, "a b c1 é Ä 中 d e f a")]
