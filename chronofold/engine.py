@@ -526,6 +526,17 @@ class Engine:
             out[name] = x.exceptAll(y).withColumn("side", F.lit(v1)).unionByName(y.exceptAll(x).withColumn("side", F.lit(v2)))
         return out
 
+    def vacuum(self) -> int:
+        """Delete files that the newest manifest does not name: what builds left on their way, and what they replaced. Readers of older states must be done."""
+        named = json.dumps(self._state(), default=str)
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
+        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+        gone = [p for p in found if p.getName() not in named]
+        for p in gone:
+            fs.delete(p, True)
+        return len(gone)
+
     @property
     def connection(self) -> SparkSession:
         return self.spark

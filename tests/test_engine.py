@@ -114,6 +114,9 @@ def test_life_of_a_store(spark, engine, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == again.ledger.count() - 2
     n = again.ledger.count()
     assert again.ledger.compact() > 1 and again.ledger.count() == n
+    rows = sorted(map(repr, again.history("customer").df.collect()))
+    assert again.vacuum() > 5 and again.vacuum() == 0 and again.ledger.count() == n
+    assert sorted(map(repr, again.history("customer").df.collect())) == rows and again.build(full=True).mode == "FULL"
 
 
 def test_shared_hints_merge(engine):
