@@ -89,7 +89,7 @@ def _tagged(value: Column, kind: str, json_type: Column | None) -> Column:
         got = F.when(json_type == "BOOLEAN", bare("Bool", value)).when(json_type.startswith("BIGINT"), bare("Int", value)).when(json_type == "STRING", text("String")).otherwise(bare("Float", value))
     else:
         got = text("String")
-    return F.coalesce(got, F.lit('"Null"'))
+    return F.when(value.isNotNull(), got).otherwise(F.lit('"Null"'))
 
 
 class Normalizer:
