@@ -293,25 +293,25 @@ class EntityFold:
 
         def handle(s: Column, first: Column) -> Column:
             after = F.when(s["err"].isNotNull(), s).otherwise(self._on_event(s, event))
-            finished = bind(after, lambda x: self._finish_event(x, event))
+            # what an event leaves alone is passed on as it is, not built anew
+            finished = bind(after, lambda x: F.when(x["changed"], self._finish_event(x, event)).otherwise(x))
+            own = lambda x: F.when(x["changed"] & x["err"].isNull(), F.array(self.snapshot(x, event["ts"], event)).cast(kind)).otherwise(none)
+            busy = lambda x: x["changed"] | x["fired"]
             return bind(
                 finished,
-                lambda x: F.struct(
-                    x.alias("s"),
-                    F.concat(acc["snaps"], first, F.when(x["changed"] & x["err"].isNull(), F.array(self.snapshot(x, event["ts"], event)).cast(kind)).otherwise(none)).alias("snaps"),
-                ),
+                lambda x: F.struct(F.when(busy(x), self._reset(x)).otherwise(x).alias("s"), F.when(busy(x), F.concat(acc["snaps"], first, own(x))).otherwise(acc["snaps"]).alias("snaps")),
             )
 
-        clean = self._reset(acc["s"])
         if not self.has_rules:
-            return bind(clean, lambda s: handle(s, none))
+            return handle(acc["s"], none)
 
         def after_rules(s: Column) -> Column:
             cell = _Cell(self, s)
-            cell.put("last", F.when(s["fired"], s["entered"]).otherwise(s["last"]))
-            return bind(cell.struct(), lambda x: handle(x, F.when(x["fired"] & x["err"].isNull(), F.array(self.snapshot(x, x["entered"], None)).cast(kind)).otherwise(none)))
+            cell.put("last", s["entered"])
+            first = lambda x: F.when(x["fired"] & x["err"].isNull(), F.array(self.snapshot(x, x["entered"], None)).cast(kind)).otherwise(none)
+            return bind(F.when(s["fired"], cell.struct()).otherwise(s), lambda x: handle(x, first(x)))
 
-        return bind(clean, lambda s: bind(self.time_rules(s, event["ts"]), after_rules))
+        return bind(self.time_rules(acc["s"], event["ts"]), after_rules)
 
     def fold(self, events: Column, start: Column | None = None) -> Column:
         """struct(s: the last state, snaps: all snapshots) of a sorted array of events."""

@@ -24,7 +24,7 @@ from chronofold.plans.fold import links
 from chronofold.plans.pyfold import FoldError, PyFold
 
 #: Entities with more events than this are long.
-LONG = 100_000
+LONG = 20_000
 ROWS = 5_000
 
 
