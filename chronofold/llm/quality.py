@@ -28,7 +28,9 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 EPOCHS = 4
 #: Words whose features a worker keeps at most; then it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Texts of an Arrow batch that a worker holds as Python strings at once.
+SLICE_ROWS = 500
 _SHAPES = [(re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "9")]
 STATISTICS = [
     "length", "lines", "mean_word", "long_words", "short_words", "distinct", "repeated_next", "repeated_lines", "upper", "digits", "marks", "other", "blank",
@@ -193,8 +195,8 @@ def score(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tool = FactorisationMachine(*sent.value), Features()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
                 scores = [own.score(*tool(t or "")) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=["id", "held_out", "score", "predicted"])
 
@@ -212,6 +214,9 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tool = FactorisationMachine(*sent.value), Features()
         for batch in batches:
-            yield batch.filter(pa.array([own.score(*tool(t or "")) >= THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+            passed: list[bool] = []
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                passed += [own.score(*tool(t or "")) >= THRESHOLD for t in batch.column(at).slice(start, SLICE_ROWS).to_pylist()]
+            yield batch.filter(pa.array(passed, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
