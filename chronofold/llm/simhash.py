@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import per_text
@@ -163,14 +163,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id are kept apart as they are: no id tells them from each other.
     """
     found = components(docs, id_col, text_col, shingle)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_rows"))
+    keep = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_rows")))
     kept = docs.join(keep, docs[id_col] == keep["_keep"])
-    single = kept.filter("_rows = 1").drop("_keep", "_rows")
-    order = [F.col(text_col).asc_nulls_first()]
-    from pyspark.sql import Window
-
-    again = kept.filter("_rows > 1").withColumn("_nth", F.row_number().over(Window.partitionBy("_keep").orderBy(*order))).filter("_nth = 1").drop("_keep", "_rows", "_nth")
-    return single.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull()))
+    if not keep.filter("_rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_keep").orderBy(F.col(text_col).asc_nulls_first()))
+        kept = kept.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    return kept.drop("_keep", "_rows").unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def as_hex(fp: Column) -> Column:
