@@ -130,8 +130,7 @@ def normalize_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct(F.lit("nothing").alias("type")))).when(F.col("event_id") % 4 == 1, F.to_json(F.struct("event_type", F.col("event_type").alias("type"), F.lit("soon").alias("at"))))
     bad = bad.when(F.col("event_id") % 4 == 2, F.to_json(F.struct(F.col("event_type").alias("type"), F.lit(1700000000).alias("at"), F.lit("many").alias("value")))).otherwise(F.lit("{oops"))
     normal = Normalizer(USER_DEFS).normalize(e.select(F.col("event_id").alias("sequence"), bad.alias("raw")), "web")
-    ids = normal.filter("error is not null").select("sequence", F.col("raw").alias("_raw"), F.col("error").alias("_error"))
-    return failures(normal.select("raw", "source", "error", "sequence")).select("error", "stage", "source", "raw").join(ids.select("sequence", F.col("_raw").alias("raw"), F.col("_error").alias("error")).dropDuplicates(["sequence"]), ["raw", "error"]).select("sequence", "error", "stage", "source").distinct()
+    return failures(normal, keep=["sequence"]).select("sequence", "error", "stage", "source")
 
 
 @_query("""

@@ -251,6 +251,6 @@ class Normalizer:
         return value if kind == to else as_text(value, kind) if to in ("any", "string") else value
 
 
-def failures(normalized: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """The rows that failed, as a dead letter has them."""
-    return normalized.filter(F.col("error").isNotNull()).select(F.col(raw_col).alias("raw"), "error", F.lit("normalization").alias("stage"), "source", F.lit(False).alias("recoverable"))
+def failures(normalized: DataFrame, raw_col: str = "raw", keep: list[str] | None = None) -> DataFrame:
+    """The rows that failed, as a dead letter has them; keep: columns of theirs to carry along."""
+    return normalized.filter(F.col("error").isNotNull()).select(*(keep or []), F.col(raw_col).alias("raw"), "error", F.lit("normalization").alias("stage"), "source", F.lit(False).alias("recoverable"))
