@@ -28,6 +28,11 @@ GROUP_TEXTS = 1_500
 #: Below so many running walks a plain loop is quicker than an array step.
 FEW = 24
 STEPS = 64
+#: A band of more rows, or of more characters, is cut into chunks of about so many, which meet in pairs.
+BAND_ROWS = 500
+BAND_CHARS = 16_000_000
+#: Characters are counted in so many classes before edits are.
+CLASSES = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -204,10 +209,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(a, b, edits): links between rows whose texts are within ``max_edits`` edits, verified by the edit distance itself.
 
     Candidates share a band: ``band_samples`` steps sampled below the length rounded down to a power of 1.25, hashed.
-    A text within ``max_edits`` of a step of that scale joins both scales, so neighbours across it meet. In each band
-    rows link to the band's smallest id (a star), never all to all, so hot bands give as many links as rows. Equal
-    texts become one class first and link to its smallest id with 0 edits. Null and empty texts are one class; rows with
-    a null id have no links; an empty table gives no links.
+    A text within ``max_edits`` of a step of that scale joins both scales, so neighbours across it meet. Within a band
+    nothing is lost: a search tree over its texts gives links that join exactly what all its pairs within ``max_edits``
+    join, at most one link for each row and chunk, not every pair. Bands are samples, so a pair of many edits for its length may
+    share none (README: measured recall). A text is shuffled once for each band that it shares. Equal texts become one
+    class first and link to its smallest id with 0 edits. Null and empty texts are one class; rows with a null id have
+    no links; an empty table gives no links.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
     classed = rows.select("id", F.sha2("text", 256).alias("h"), "text")
@@ -222,23 +229,101 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for i, text in zip(ids, texts):
                 scales = {_scale(max(1, len(text) - max_edits)), _scale(len(text)), _scale(len(text) + max_edits)}
                 todo += [(i, s, text) for s in scales]
-            keys, owners = [], []
+            keys, owners, sizes = [], [], []
             for (i, scale, text), marks in zip(todo, tool.walk([t for *_, t in todo], [s for _, s, _ in todo])):
                 for k in range(bands):
                     owners.append(i)
                     keys.append(sha256_hex(b"%d:%d:" % (scale, k) + marks[k::bands]))
-            yield pa.RecordBatch.from_arrays([pa.array(owners, ids_type), pa.array(keys, pa.string())], names=["id", "band"])
-
-    ids_type = pa.int64()
-    banded = heads.select(F.col("head").cast("long").alias("id"), "text").mapInArrow(band, "id long, band string")
-    least = banded.groupBy("band").agg(F.min("id").alias("a"))
-    pairs = banded.join(least, "band").filter("id != a").select("a", F.col("id").alias("b")).distinct()
-    sides = heads.select(F.col("head").cast("long").alias("head"), "text")
-    full = pairs.join(sides.select(F.col("head").alias("a"), F.col("text").alias("x")), "a").join(sides.select(F.col("head").alias("b"), F.col("text").alias("y")), "b")
-    near = full.select("a", "b", F.levenshtein("x", "y", max_edits).alias("edits")).filter("edits >= 0")
+                    sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], names=["id", "band", "size"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, texts = None, [], []
+
+        def solve() -> pa.RecordBatch:
+            found = _tree(ids, texts, max_edits)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 3, [pa.int64(), pa.int64(), pa.int32()])], names=["a", "b", "edits"])
+
+        for batch in batches:
+            for band, lo, hi, i, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (band, lo, hi) != group:
+                    if len(ids) > 1:
+                        yield solve()
+                    group, ids, texts = (band, lo, hi), [], []
+                ids.append(i)
+                texts.append(text)
+        if len(ids) > 1:
+            yield solve()
+
+    sides = heads.select(F.col("head").cast("long").alias("id"), "text")
+    banded = sides.mapInArrow(band, "id long, band string, size long")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).filter("n > 1")
+    chunks = F.greatest(F.ceil(F.col("n") / BAND_ROWS), F.ceil(F.col("chars") / BAND_CHARS)).cast("int")
+    met = banded.join(shared.select("band", chunks.alias("chunks")), "band")
+    own = met.select("band", "id", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("c"))
+    spread = own.select("band", "id", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")).select("band", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "id")
+    dealt = spread.join(sides, "id").select("band", "lo", "hi", "id", "text").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "id")
+    near = dealt.mapInArrow(verify, "a long, b long, edits int").distinct()
     return near.unionByName(copies.select(F.col("a").cast("long"), F.col("b").cast("long"), "edits"))
 
 
+def _edits(x: str, y: str, most: int) -> int:
+    """Edit distance, -1 if over ``most``: by the furthest point on each diagonal for each number of edits."""
+    n, m = len(x), len(y)
+    end = m - n
+    if abs(end) > most:
+        return -1
+
+    def run(i: int, j: int) -> int:  # where x[i:] and y[j:] part, by doubling and halving steps
+        left, step = min(n - i, m - j), 1
+        while step <= left and x[i : i + step] == y[j : j + step]:
+            i, j, left, step = i + step, j + step, left - step, 2 * step
+        while step > 1:
+            step //= 2
+            if step <= left and x[i : i + step] == y[j : j + step]:
+                i, j, left = i + step, j + step, left - step
+        return i
+
+    reach: dict[int, int] = {}
+    for e in range(most + 1):
+        new = {}
+        for d in range(max(-e, end - (most - e)), min(e, end + most - e) + 1):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1) if e else 0
+            i = min(i, n, m - d)
+            if i >= 0 and i + d >= 0:
+                new[d] = run(i, i + d)
+        if new.get(end) == n:
+            return e
+        reach = new
+    return -1
+
+
+def _tree(ids: list[int], texts: list[str], most: int) -> list[tuple[int, int, int]]:
+    """(a, b, edits): links that join what is within ``most`` edits: a search tree of each component.
+
+    An edit changes the counts of at most two classes of characters by one, so counts further apart spare the comparison.
+    """
+    counts = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES, minlength=CLASSES) for t in texts], np.int32)
+    left, links = np.arange(len(ids)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        for f in front:  # grows by what is found
+            if not len(left):
+                break
+            differ = counts[left] - counts[f]
+            likely = np.flatnonzero((np.abs(differ).sum(axis=1) <= 2 * most) & (np.abs(differ.sum(axis=1)) <= most))
+            got = []
+            for k in likely.tolist():
+                to = int(left[k])
+                edits = _edits(texts[f], texts[to], most)
+                if edits >= 0:
+                    links.append((min(ids[f], ids[to]), max(ids[f], ids[to]), edits))
+                    front.append(to)
+                    got.append(k)
+            left = np.delete(left, got)
+    return links
+
+
 def _scale(n: int) -> int:
     k = 0
     while int(1.25 ** (k + 1)) <= n:

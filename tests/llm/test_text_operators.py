@@ -108,6 +108,64 @@ def test_fingerprints_and_near_duplicates(spark):
     assert fingerprint.near_duplicates(empty(spark)).count() == 0
 
 
+def slow_edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def changed(r, text, edits):
+    """``text`` after so many substitutions, insertions and deletions."""
+    out = list(text)
+    for _ in range(edits):
+        k = r.randrange(len(out) or 1)
+        out[k : k + 1] = r.choice([["#"], ["#", *out[k : k + 1]], []])
+    return "".join(out)
+
+
+def test_edits_by_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        x = "".join(r.choice("ab") for _ in range(r.randint(0, 30)))
+        y = changed(r, x, r.randint(0, 9)) if x and r.random() < 0.7 else "".join(r.choice("ab") for _ in range(r.randint(0, 30)))
+        for most in (0, 1, 4, 9, 40):
+            want = slow_edits(x, y)
+            assert fingerprint._edits(x, y, most) == (want if want <= most else -1), (x, y, most)
+
+
+@pytest.mark.parametrize("rows", [500, 3])
+def test_near_duplicates_whose_smallest_id_is_an_outlier(spark, monkeypatch, rows):
+    """The smallest id of each family is over 20 edits from the rest, which are 2 edits apart at most. All differ late, so share bands."""
+    monkeypatch.setattr(fingerprint, "BAND_ROWS", rows)
+    r, texts = random.Random(4), {}
+    for family in range(8):
+        base = "".join(r.choice("abcdefghij klm") for _ in range(1500))
+        texts[10 * family] = base[:1450] + "#" * 25 + base[1450:]
+        for k in range(1, 6):
+            texts[10 * family + k] = base[:1450] + changed(r, base[1450:], 1)
+    found = fingerprint.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all(x["a"] < x["b"] and x["edits"] == slow_edits_close(texts[x["a"]], texts[x["b"]]) for x in found)
+    label = {i: i for i in texts}
+    for _ in texts:
+        for x in found:
+            label[x["a"]] = label[x["b"]] = min(label[x["a"]], label[x["b"]])
+    assert label == {i: i if i % 10 == 0 else i - i % 10 + 1 for i in texts}
+
+
+def slow_edits_close(x, y):
+    """Brute force without what both begin and end with, which changes no edit distance."""
+    a = 0
+    while a < min(len(x), len(y)) and x[a] == y[a]:
+        a += 1
+    b = 0
+    while b < min(len(x), len(y)) - a and x[-1 - b] == y[-1 - b]:
+        b += 1
+    return slow_edits(x[a : len(x) - b], y[a : len(y) - b])
+
+
 # byte-level BPE
 
 
