@@ -639,12 +639,12 @@ def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def graph_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.communities(_edges(spark, sf_dir).filter("relationship_type != 'lives_in'"), "louvain")
+    return G.communities(_edges(spark, sf_dir), "louvain")
 
 
 @_query()
 def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.betweenness(_edges(spark, sf_dir).filter("relationship_type != 'lives_in'"))
+    return G.betweenness(_edges(spark, sf_dir))
 
 
 # --- query layer and passthrough -------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import pytest
 
 from chronofold.operators import graph as G
 from chronofold.operators.components import connected_components
+from chronofold.queries import QUERIES
 
 COLUMNS = "source_id string, target_id string, relationship_type string"
 
@@ -91,3 +92,32 @@ def test_two_cliques_are_two_communities(spark, algorithm):
     pairs = [*itertools.combinations(left, 2), *itertools.combinations(right, 2), ("a", "w")]
     got = {r["entity_id"]: r["community"] for r in G.communities(frame(spark, pairs), algorithm).collect()}
     assert len({got[x] for x in left}) == 1 and len({got[x] for x in right}) == 1 and got["b"] != got["x"]
+
+
+def test_queries_take_the_whole_graph(spark, tmp_path):
+    """graph_betweenness by brute force, graph_louvain by the best of all partitions; customers are most of both graphs."""
+    customers, suppliers, nations = [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1)], [(1, 0), (2, 1)], [(0, 0), (1, 1)]
+    for name, rows, columns in [("customer", customers, "c_custkey long, c_nationkey long"), ("supplier", suppliers, "s_suppkey long, s_nationkey long"), ("nation", nations, "n_nationkey long, n_regionkey long")]:
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    pairs = [(f"{a}{x}", f"{b}{y}") for a, b, rows in [("c", "n", customers), ("s", "n", suppliers), ("n", "r", nations)] for x, y in rows]
+    got = {r["entity_id"]: r["score"] for r in QUERIES["graph_betweenness"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(brute_betweenness(pairs)) and len(got) == 11
+
+    nodes = sorted({x for p in pairs for x in p})
+    degree = {x: sum(x in p for p in pairs) for x in nodes}
+
+    def modularity(label):
+        inside = sum(label[a] == label[b] for a, b in pairs) / len(pairs)
+        return inside - sum((sum(degree[x] for x in nodes if label[x] == c) / (2 * len(pairs))) ** 2 for c in set(label.values()))
+
+    def partitions(k, label, used):
+        if k == len(nodes):
+            yield label
+            return
+        for c in range(used + 1):
+            label[nodes[k]] = c
+            yield from partitions(k + 1, label, max(used, c + 1))
+
+    found = {r["entity_id"]: r["community"] for r in QUERIES["graph_louvain"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == nodes
+    assert modularity(found) == pytest.approx(max(modularity(label) for label in partitions(0, {}, 0)))
