@@ -29,8 +29,12 @@ KINDS = [*BASE_KINDS, "pem", "jwt", "der", "ssh", "encoded"]
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?(?:PRIVATE KEY(?: BLOCK)?))-----(.*?)-----END \1-----", re.DOTALL)
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+# The shortest plain secret has 12 bytes (token=abcdef): 16 characters of base64, 24 of hex.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
+_BREAK = r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"  # also as escaped in JSON
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[A-Za-z0-9+/_-]++)+={{0,2}}")
+_NEXT = re.compile(_BREAK)
 _SSH_NAMES = (b"ssh-", b"ecdsa-sha2-", b"sk-")
 
 
@@ -120,25 +124,51 @@ def _confirm(data: bytes | None) -> str | None:
         return "der"
     if is_ssh(data):
         return "ssh"
-    if data.isascii():
-        inner = data.decode("ascii")
-        if inner.isprintable() and (ACCESS.search(inner) or ASSIGN.search(inner)) and base_spans(inner):
+    try:
+        inner = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if re.sub(r"\s", "", inner).isprintable():
+        if (ACCESS.search(inner) or ASSIGN.search(inner)) and base_spans(inner):
             return "encoded"
     return None
 
 
+def _wrapped(text: str) -> Iterator[tuple[int, str, int]]:
+    """(start, kind, end) of base64 over several lines: lines as wide as the first, and a shorter last one if it belongs."""
+    for m in _RUN.finditer(text):
+        ends = [(b.start(), b.end()) for b in _NEXT.finditer(text, m.start(), m.end())]
+        lines = list(zip([m.start(), *(b for _, b in ends)], [*(a for a, _ in ends), m.end()]))
+        words = [text[a:b] for a, b in lines]
+        k = 0
+        while k < len(lines):
+            first, wide = k, len(words[k].rstrip("="))
+            k += 1
+            while k < len(lines) and len(words[k].rstrip("=")) == wide:
+                k += 1
+            if wide < 16:
+                continue
+            for last in (k + 1, k):
+                if first + 1 < last <= len(lines) and (last == k or len(words[k]) <= wide) and (kind := _confirm(_unbase64("".join(words[first:last])))):
+                    yield lines[first][0], kind, lines[last - 1][1]
+                    k = last
+                    break
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of what is a secret by its structure, by start and then kind."""
     found = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|^=.{4}$|\s+", "", m[2])
+            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|^=.{4}$|\s+", "", re.sub(r"\\+[nr]", "\n", m[2]))
             data = _unbase64(body)
             if data and (is_der(data) or is_ssh(data) or "PGP" in m[1] and data[0] & 0x80 or "ENCRYPTED" in m[2]):
                 found.append((m.start(), "pem", m.end()))
     if "eyJ" in text or "ey" in text and "." in text:
         found += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     inside = [(a, b) for a, _, b in found]
+    found += [(a, kind, b) for a, kind, b in _wrapped(text) if not any(c <= a and b <= d for c, d in inside)]
+    inside = [(a, b) for a, _, b in found]
     for pattern, decode in ((_BASE64, _unbase64), (_HEX_ANY, bytes.fromhex)):
         for m in pattern.finditer(text):
             if not any(a <= m.start() and m.end() <= b for a, b in inside) and (kind := _confirm(decode(m[0]))):
