@@ -32,8 +32,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     its own component); an empty list gives an empty result. Node columns may have any orderable type.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
-    alone = pairs.filter("a = b").select(F.col("a").alias("node")).distinct()
-    work = cut(pairs.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    start = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())  # the input is computed once
+    alone = start.filter("u = v").select(F.col("u").alias("node"))
+    work = start.filter("u != v")
     seen = None
     for _ in range(max_rounds):
         work = cut(_star(_star(work, True), False))
