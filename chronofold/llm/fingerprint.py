@@ -25,6 +25,10 @@ SEED = 0x5EED
 GROUP_CHARS = 4_000_000
 #: ... and so many texts at once: each has ``samples`` steps to look up, whatever its length.
 GROUP_TEXTS = 1_500
+#: Lengths whose sampled steps are kept at most; then they are found afresh.
+KNOWN_LENGTHS = 2_048
+#: Rows of an Arrow batch that a worker holds as Python objects at once.
+SLICE_ROWS = 500
 #: Below so many running walks a plain loop is quicker than an array step.
 FEW = 24
 STEPS = 64
@@ -52,7 +56,7 @@ class EditEmbedding:
         self._coins = np.empty(0, np.uint64)
         self._levels: list[np.ndarray] = []
         self._known = 0
-        self.steps_of = lru_cache(4096)(self._steps_of)
+        self._steps: dict[int, np.ndarray] = {}
 
     def _salt(self, k: int) -> np.uint64:
         return np.uint64((self.seed * 0x9E3779B97F4A7C15 + k * 0xD1342543DE82EF95) % 2**64)
@@ -77,9 +81,15 @@ class EditEmbedding:
                 self._levels.append(at)
         return self._levels[min(level, len(self._levels) - 1)]
 
-    def _steps_of(self, n: int) -> np.ndarray:
+    def steps_of(self, n: int) -> np.ndarray:
         """The sampled steps of a text of ``n`` characters, ascending."""
-        length = 2 * n
+        if n not in self._steps:
+            if len(self._steps) >= KNOWN_LENGTHS:
+                self._steps.clear()
+            self._steps[n] = self._find_steps(2 * n)
+        return self._steps[n]
+
+    def _find_steps(self, length: int) -> np.ndarray:
         if length <= self.samples:
             return np.arange(length)
         level = max(0, (length // (2 * self.samples)).bit_length() - 1)
@@ -184,6 +194,18 @@ class EditEmbedding:
         return float(np.count_nonzero(both & (x[: len(s)] == y[where]) & (x[: len(s)] != 0)) / most)
 
 
+@lru_cache(2)
+def _tool(samples: int, seed: int) -> EditEmbedding:
+    """One for each worker process, whose coins and steps last over its tasks."""
+    return EditEmbedding(samples, seed)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def as_string(n: int, marks: bytes) -> str:
     return f"{n:08x}{marks.hex()}"
 
@@ -195,8 +217,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = EditEmbedding(samples)
-        for batch in batches:
+        tool = _tool(samples, SEED)
+        for batch in _slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             prints = [as_string(len(t), m) for t, m in zip(texts, tool.walk(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(prints, pa.string())], names=[id_col, "n_chars", "fingerprint"])
@@ -222,8 +244,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = classed.join(heads.select("h", "head"), "h").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(0).alias("edits")).distinct()
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = EditEmbedding(bands * band_samples, SEED + 1)
-        for batch in batches:
+        tool = _tool(bands * band_samples, SEED + 1)
+        for batch in _slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             todo = []
             for i, text in zip(ids, texts):
@@ -244,7 +266,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = _tree(ids, texts, max_edits)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 3, [pa.int64(), pa.int64(), pa.int32()])], names=["a", "b", "edits"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for band, lo, hi, i, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if (band, lo, hi) != group:
                     if len(ids) > 1:
@@ -356,7 +378,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = EditEmbedding()
+        tool = _tool(SAMPLES, SEED)
         held: list[tuple] = []
         size = 0
 
@@ -375,7 +397,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, types)], names=[id_col, *columns])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 held.append(row)
                 size += len(row[1])
