@@ -204,6 +204,105 @@ def test_one_of_each(spark):
     assert kept.columns == df.columns and sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 9]
 
 
+# near copies by word shingles
+
+
+def shingles(text, n=5):
+    w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]  # ASCII words only in these tests
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def groups_of(n, near):
+    """The least member of each member's group, by all pairs."""
+    label = list(range(n))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if near(a, b):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return [root(k) for k in range(n)]
+
+
+def distances(texts):
+    bits = np.concatenate([simhash.Projection()(texts[k : k + 64])[0] for k in range(0, len(texts), 64)]).view(np.uint64)
+    return np.array([np.bitwise_count(bits ^ b).sum(axis=1, dtype=np.int64) for b in bits])
+
+
+def test_projections_by_a_plain_matrix():
+    tool = simhash.Projection()
+    texts = ["", "one", "a b c d", "a b c d e", "A  B\tc d e f", "x y " * 400, *(" ".join(random.Random(k).choices("abcdefgh", k=40)) for k in range(6))]
+    assert [len(tool.shingles(t)) for t in texts[:6]] == [0, 1, 1, 1, 2, 2]
+    assert set(tool.shingles("a b c d e f").tolist()) == set(tool.shingles(texts[4]).tolist())
+    whole = np.array([[-1 if bin(i & j).count("1") & 1 else 1 for j in range(simhash.DIM)] for i in range(64)])  # the first rows of the transform
+    bits, strongest = tool(texts)
+    for k, text in enumerate(texts):
+        x = np.zeros(simhash.DIM)
+        for h in tool.shingles(text).tolist():
+            x[h % simhash.DIM] += 1 - 2 * (h >> 40 & 1)
+        x = tool._turn((x * tool.signs[0])[None].astype(np.float32))[0]
+        assert (np.unpackbits(bits[k], bitorder="little")[:64] == (whole @ (x * tool.signs[1]) > 1e-3)).all(), text
+    assert strongest.shape == (len(texts), simhash.DIM * simhash.ROTATIONS // simhash.SEGMENT) and strongest.max() < 2 * simhash.SEGMENT
+    keys = simhash.chain_keys(strongest)
+    n = strongest.shape[1]
+    for i in (0, 1, n - 1):
+        a, b, c = (int(strongest[7, (i + k) % n]) for k in range(3))
+        assert keys[7, i] == ((i * 1024 + a) * 1024 + b) * 1024 + c
+
+
+def test_the_pigeonring_prunes_no_alike_pair():
+    r = np.random.default_rng(2)
+    x = r.integers(0, 2**63, (60, 16), dtype=np.uint64)
+    y = np.concatenate([x, x, x])
+    for k in range(len(y)):
+        for bit in r.choice(1024, int(r.integers(0, 260)), replace=False):
+            y[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    for most in (0, 3, 100, 167, 1024):
+        whole = np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+        assert (simhash.alike(x, y, most) == (whole <= most)).all()
+
+
+@pytest.mark.parametrize("chunk", [2000, 9])
+def test_near_copies_by_brute_force(spark, monkeypatch, chunk):
+    """Families of edited texts: the groups of all pairs by fingerprint, and of planted likenesses of 0.8 or more at least 0.9 joined."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    r, texts = random.Random(chunk), []
+    for _ in range(40):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.choice([6, 30, 200, 600]))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = f"w{r.randrange(4000)}"
+            texts.append("  ".join(w).upper())
+    texts += ["", None, " ", "one", "two", "one", "one two three four", "one two three four five"]
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, component int")
+    got = {x["id"]: x["component"] for x in simhash.near_copies(df).collect()}
+    label = [min(k for k in got if got[k] == got[i]) for i in range(len(texts))]
+    whole = distances([t or "" for t in texts])
+    want = groups_of(len(texts), lambda a, b: whole[a, b] <= simhash.most_bits())
+    assert np.mean([x == y for x, y in zip(label, want)]) > 0.97  # pairs that share no chain
+    assert all(want[a] == want[b] for a, b in zip(range(len(texts)), label))  # nothing is joined that is not alike
+    sets = [shingles(t) for t in texts]
+    planted = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(planted) > 100 and np.mean([label[a] == label[b] for a, b in planted]) > 0.9
+    far = [(a, b) for a in range(200) for b in range(a) if a // 5 != b // 5]
+    assert not any(label[a] == label[b] for a, b in far)
+    assert label[-8] == label[-7] == label[-6] and label[-5] == label[-3] != label[-4] and simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, words), (7, "another text of six words here"), (8, words + " w60"), (9, "another text of six words here"), (5, None), (6, ""), (7, words)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], (r["text"] or "")[:7]) for r in kept.collect()) == [(5, ""), (7, "another"), (7, "w0 w1 w")]
+
+
 # sharding
 
 
@@ -247,7 +346,9 @@ def test_pipeline_by_plain_steps(spark):
     model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
     tool = quality.Features()
     kept = [(r["doc_id"], r["text"]) for r in docs.collect() if model.score(*tool(r["text"])) >= quality.THRESHOLD - 1e-6]
-    kept = [(d, t) for (d, t), (_, _, c) in zip(sorted(kept), sorted(slow_components(kept))) if d == c]
+    kept.sort()
+    whole = distances([t or "" for _, t in kept])
+    kept = [kept[k] for k, least in enumerate(groups_of(len(kept), lambda a, b: whole[a, b] <= simhash.most_bits())) if k == least]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     clean = {d for d, *_, bad in brute_hits(kept, items) if not bad}
     encoder = bpe.ByteBPE(bpe._vocabulary(None))
