@@ -92,10 +92,10 @@ def brute_hits(docs, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("path", ["set", "no set", "no broadcast"])
+@pytest.mark.parametrize("path", ["set", "crowded set", "no broadcast"])
 def test_hits_by_brute_force(spark, monkeypatch, path):
-    if path == "no set":
-        monkeypatch.setattr(decontaminate, "SET_WORDS", 0)
+    if path == "crowded set":
+        monkeypatch.setattr(decontaminate, "SET_WORDS", 1)
     if path == "no broadcast":
         monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", -1)
         monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
@@ -338,6 +338,77 @@ def test_several_arrivals_in_one_job(spark, tmp_path):
     assert len(store.manifest()[1]) == 1 and sorted(r["id"] for r in store.read().collect()) == list(range(100))
 
 
+def test_arrivals_with_other_columns(spark, tmp_path):
+    """What one arrival has and another lacks stays through compaction and vacuum; what does not go together is refused."""
+    store = sharding.ShardStore(spark, str(tmp_path / "u"), fan=2)
+    store.append(spark.createDataFrame([(1, "a", "en"), (2, None, "de")], "doc_id int, text string, lang string"))
+    for k in range(3):
+        store.append(spark.createDataFrame([(10 + k, f"t{k}")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([("b", 1.5, 20, True)], "TEXT string, score float, Doc_Id long, extra boolean"))
+    store.append(spark.createDataFrame([(2.5,)], "score double"))
+    names = ["doc_id", "text", "lang", "score", "extra"]
+    want = sorted([(1, "a", "en", None, None), (2, None, "de", None, None), (10, "t0", None, None, None), (11, "t1", None, None, None), (12, "t2", None, None, None), (20, "b", None, 1.5, True), (None, None, None, 2.5, None)], key=repr)
+    for step in (lambda: None, store.compact, store.vacuum):
+        step()
+        got = store.read()
+        assert got.columns == names and dict(got.dtypes)["doc_id"] == "bigint" and dict(got.dtypes)["score"] == "double"
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    files = len(list((tmp_path / "u" / "data").iterdir()))
+    with pytest.raises(sharding.SchemaMismatch):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    assert len(list((tmp_path / "u" / "data").iterdir())) == files and store.read().count() == len(want)
+
+
+def test_vacuum_leaves_running_writers_alone(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "w"), fan=2)
+    rows = lambda n: spark.createDataFrame([(n,)], "doc_id long")
+    for k in range(3):
+        store.append(rows(k))
+    inner, met = store._commit, []
+
+    def commit(base, lists, schema):
+        if not met:
+            met.append(store.vacuum())  # after the shards and lists are written, before they are committed
+        return inner(base, lists, schema)
+
+    monkeypatch.setattr(store, "_commit", commit)
+    store.append(rows(3))
+    assert met == [0] and sorted(r[0] for r in store.read().collect()) == [0, 1, 2, 3]
+    met.clear()
+    store.compact()
+    assert met == [0] and sorted(r[0] for r in store.read().collect()) == [0, 1, 2, 3]
+    monkeypatch.undo()
+    # a writer that died leaves its mark; its files go when the mark is old
+    mark = store._mark()
+    store._list(mark, store._write(rows(9), mark))
+    before = store.vacuum()
+    assert before > 0 and store.vacuum() == 0 and store.vacuum(abandoned_s=0) > 0 and store.vacuum() == 0
+    assert sorted(r[0] for r in store.read().collect()) == [0, 1, 2, 3]
+
+
+def test_a_writer_that_was_away_commits_over_nothing(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "x"))
+    stale = store._version()
+    for k in range(4):
+        store.append(spark.createDataFrame([(k,)], "doc_id long"))
+    store.vacuum(version_s=0)
+    assert store.versions() == [4]
+    with pytest.raises(sharding.Conflict):
+        store._commit(stale, [], None)
+    assert store.versions() == [4] and store.read().count() == 4
+
+
+def test_commits_write_the_lists_they_change(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "LIST_SHARDS", 2)
+    store = sharding.ShardStore(spark, str(tmp_path / "y"), target_bytes=500)
+    for k in range(5):
+        store.append(spark.range(k * 100, k * 100 + 100).repartition(3))
+    first = {x.name for x in store._version()["lists"]}
+    store.append(spark.range(10))
+    assert first < {x.name for x in store._version()["lists"]} and len(first) == 10
+    assert store.read().count() == 510 and store.read(3).count() == 300
+
+
 # the pipeline
 
 
