@@ -1,9 +1,11 @@
 """Main text of HTML pages by text-to-tag ratios.
 
 The standard library's parser streams events that become lines: a line ends where a block begins or ends. A line's
-ratio is its characters by its tags, where links and what stands in a block of page furniture count for nothing. The
-ratios are smoothed with a Gaussian and split in two clusters. The lines of the upper one name the block of the page
-that is the article; all of its lines that are no furniture are the text, short ones too.
+ratio is its characters outside links by its tags. The ratios are smoothed with a Gaussian and split in two clusters; the
+upper one says where the content is. Elements are a prior only: menus, forms and the like never count, ``article`` and
+``main`` need less of the upper cluster to be chosen, and where there is neither, the innermost section that holds
+the upper cluster is. Of the region so chosen short lines stay as well; blocks whose names may mark furniture, lists of
+links and what lies round the region stay only with lines of the upper cluster.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +29,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select button textarea datalist option optgroup".split())
 FURNITURE = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-#: Words in class and id names that mark furniture.
+#: Words in class and id names that mark furniture: of these kinds a page's text is no part ...
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"header|masthead|topbar|footer|foot|bottombar|sidebar|side|aside|widget|widgets|comment|comments|commentlist|disqus|respond|replies|discussion|cookie|cookies|consent|gdpr|notice|notices|"
-    r"alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|copyright|legal|skip|pagination|pager|toolbar)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsored|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
+    r"header|masthead|topbar|footer|bottombar|sidebar|comment|comments|commentlist|disqus|respond|replies|cookie|cookies|consent|gdpr|notice|notices|"
+    r"popup|modal|newsletter|subscribe|signup|login)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-#: Names that win over the ones above where both stand in one attribute, as in "article-header": the article's own parts.
+#: ... and of these it may be: their ratios decide.
+PERHAPS = re.compile(
+    r"(?:^|[\s_-])(?:sponsor|promo|promotion|foot|side|aside|widget|widgets|discussion|alert|overlay|share|sharing|social|related|recommended|copyright|legal|skip|pagination|pager|toolbar)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+#: Names that win over both where they stand in one attribute, as in "article-header": the article's own parts ...
 OWN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.IGNORECASE)
+#: ... but for these, whatever stands beside them.
+NEVER = re.compile(r"(?:^|[\s_-])(?:comment|comments|sidebar|footer)(?:$|[\s_-])", re.IGNORECASE)
+_COMMENTS = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.IGNORECASE)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("article main section div td body".split())
 #: Open elements that a new one ends (those of the same kind up to the nearest element that holds them).
 ENDS = {
@@ -43,27 +56,39 @@ ENDS = {
 ENDS_P = BLOCKS - {"br", "html", "head", "body", "title", "option", "optgroup", "tbody", "thead", "tfoot", "tr", "td", "th", "li", "dd", "dt", "caption", "legend"}
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
+#: An article or main element is chosen if it holds this share of the upper cluster's ratios; any other section needs the larger one.
+MARKED_SHARE, SHARE = 0.2, 0.8
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    furniture: bool
+    perhaps: bool
+    section: int
+    heading: bool
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, linked characters, furniture, path of sections)."""
+    """Collects the lines of a page, and its sections as a tree."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, section
+        self.open: list[tuple[str, bool, bool, bool, int]] = []  # name, hidden, furniture, perhaps furniture, section
         self.parents: list[int] = [-1]  # section 0 is the page
         self.kinds: list[str] = ["page"]
         self.in_article: list[bool] = [False]  # for each section: it is an article or main, or lies in one
-        self.lines: list[tuple[str, int, int, bool, int, bool]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
-        hidden, furniture, section = (self.open[-1][1:]) if self.open else (False, False, 0)
         if text:
-            heading = any(name in ("h1", "h2", "h3", "h4", "h5", "h6") for name, *_ in self.open[-4:])
-            self.lines.append((text, self.tags, self.linked, furniture, section, heading))
+            _, _, furniture, perhaps, section = self.open[-1] if self.open else ("", False, False, False, 0)
+            heading = any(name in HEADINGS for name, *_ in self.open[-4:])
+            self.lines.append(Line(text, self.tags, self.linked, furniture, perhaps, section, heading))
             self.tags = self.linked = 0
         self.text = []
 
@@ -82,24 +107,24 @@ class _Lines(HTMLParser):
             self._end_nearest({"p"}, SECTIONS | {"li", "table", "blockquote", "button", "form", "header", "footer", "nav", "aside"})
         if tag in ENDS:
             self._end_nearest(*ENDS[tag])
-        _, hidden, furniture, section = self.open[-1] if self.open else ("", False, False, 0)
-        hidden = hidden or tag in HIDDEN
+        _, hidden, furniture, perhaps, section = self.open[-1] if self.open else ("", False, False, False, 0)
         own = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden", "style")}
         in_article = self.in_article[section]
         names = f"{own.get('class', '')} {own.get('id', '')}"
-        marked = bool(NAMES.search(names)) and not OWN.search(names) or re.search(r"(?:^|[\s_-])(?:comment|comments|sidebar|related|footer)(?:$|[\s_-])", names, re.IGNORECASE) is not None
         if tag in ("html", "body", "article", "main"):
-            marked = marked and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.IGNORECASE) is not None
-        furniture = furniture or tag in FURNITURE or tag == "header" and not in_article or own.get("role", "").lower() in ROLES or marked
-        if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
-            hidden = True
+            marked, maybe = _COMMENTS.search(names), None
+        else:
+            marked = NEVER.search(names) or not OWN.search(names) and NAMES.search(names)
+            maybe = not OWN.search(names) and PERHAPS.search(names)
+        furniture = furniture or tag in FURNITURE or tag == "header" and not in_article or own.get("role", "").lower() in ROLES or bool(marked)
+        hidden = hidden or tag in HIDDEN or "hidden" in own or own.get("aria-hidden") == "true" or _UNSEEN.search(own.get("style", "")) is not None
         if tag in SECTIONS:
             self.parents.append(section)
             self.kinds.append(tag)
             self.in_article.append(in_article or tag in ("article", "main"))
             section = len(self.parents) - 1
         self.links += tag == "a"
-        self.open.append((tag, hidden, furniture, section))
+        self.open.append((tag, hidden, furniture, perhaps or bool(maybe), section))
 
     def _end_nearest(self, kinds: set[str], within: set[str] | frozenset[str]) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -158,40 +183,69 @@ def main_text(html: str) -> str:
     page.close()
     page.end_line()
     lines = page.lines
-    free = np.array([not furniture for *_, furniture, _, _ in lines], bool)
+    free = np.array([not line.furniture for line in lines], bool)
     if not free.any():
         return ""
-    ratio = np.array([max(0, len(text) - linked) / max(1, tags) if ok else 0.0 for (text, tags, linked, *_), ok in zip(lines, free)])
+    ratio = np.array([max(0, len(line.text) - line.linked) / max(1, line.tags) if ok else 0.0 for line, ok in zip(lines, free)])
     smooth = _smooth(ratio)
-    top = (smooth > _two_means(smooth)) & free if smooth.max() > smooth.min() else free
-    if not top.any():
-        top = free
+    links = np.array([2 * line.linked > len(line.text) for line in lines], bool)
+    upper = (smooth > _two_means(smooth)) & free & ~links if smooth.max() > smooth.min() else free
+    if not upper.any():
+        upper = free
+    inside, beside = _region(page, lines, free, upper, links, smooth)
+    kept = free & (inside | beside & (upper | np.array([line.heading for line in lines], bool)))
+    kept &= upper | ~np.array([line.perhaps for line in lines], bool)
+    return " ".join(line.text for line, ok in zip(lines, kept) if ok)
+
+
+def _region(page: _Lines, lines: list[Line], free: np.ndarray, upper: np.ndarray, links: np.ndarray, smooth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines of the region that the upper cluster chooses, lines of the element that holds it)."""
     n = len(page.parents)
     mass, nested = [0.0] * n, [False] * n
-    for (text, _, linked, _, section, _), chosen in zip(lines, top):
-        mass[section] += (len(text) - linked) if chosen else 0
+    for line, chosen, weight in zip(lines, upper, smooth.tolist()):
+        mass[line.section] += weight if chosen else 0
     for s in range(n - 1, 0, -1):  # a section comes after the one that holds it
         mass[page.parents[s]] += mass[s]
     for s in range(1, n):
         nested[s] = nested[page.parents[s]] or page.kinds[page.parents[s]] == "article"
-    articles = [s for s in range(n) if mass[s] > 0 and page.kinds[s] in ("article", "main") and not nested[s]]
-    named = [s for s in articles if page.kinds[s] == "article"] or articles
-    best = max((mass[s] for s in named), default=0.0)
-    if best >= 0.2 * mass[0] and best > 0:
-        roots = {s for s in named if mass[s] >= 0.25 * best}
-    else:
-        roots = {_densest(page, lines, free, mass)}
-    chosen_sections = [False] * n
-    for s in range(n):
-        chosen_sections[s] = s in roots or s > 0 and chosen_sections[page.parents[s]]
-    return " ".join(text for (text, _, _, _, section, _), ok in zip(lines, free) if ok and chosen_sections[section])
-
-
-def _densest(page: _Lines, lines: list, free: np.ndarray, mass: list[float]) -> int:
-    """The innermost section with most of the page's content; not further in where only headings would be left outside."""
+
+    def under(roots: set[int]) -> np.ndarray:
+        known = [False] * n
+        for s in range(n):
+            known[s] = s in roots or s > 0 and known[page.parents[s]]
+        return np.array([known[line.section] for line in lines], bool)
+
+    nothing = np.zeros(len(lines), bool)
+    marked = [s for s in range(n) if page.kinds[s] in ("article", "main") and not nested[s]]
+    articles = [s for s in marked if page.kinds[s] == "article"] or marked
+    best = max(articles, key=lambda s: mass[s], default=0)
+    if best and mass[best] > 0 and mass[best] >= MARKED_SHARE * mass[0]:
+        # all parts of the article that stand side by side; and of what holds them what the ratios, or a heading, tell
+        parts = {s for s in articles if page.parents[s] == page.parents[best]}
+        around = best
+        while around > 0 and page.kinds[around] != "main":
+            around = page.parents[around]
+        return under(parts), under({around}) if around > 0 else nothing
+    root = _densest(page, lines, free, mass)
+    inside = under({root}) & free & (upper | ~links)
+    if page.kinds[root] in ("page", "body"):
+        # nothing holds the text together: it goes from the first to the last line of the upper cluster, and on both sides
+        # as far as plain lines of the same section, or headings, stand next to it
+        places = np.flatnonzero(upper)
+        first, last = int(places[0]), int(places[-1])
+        while first > 0 and inside[first - 1] and (lines[first - 1].heading or lines[first - 1].section == lines[first].section):
+            first -= 1
+        while last + 1 < len(lines) and inside[last + 1] and lines[last + 1].section == lines[last].section:
+            last += 1
+        inside[:first] = inside[last + 1 :] = False
+    return inside, nothing
+
+
+def _densest(page: _Lines, lines: list[Line], free: np.ndarray, mass: list[float]) -> int:
+    """The innermost section with most of the upper cluster; not further in where only headings would be left outside."""
     children: dict[int, list[int]] = {}
     for s in range(1, len(mass)):
-        if mass[s] >= 0.8 * mass[0]:
+        if mass[s] >= SHARE * mass[0]:
             children.setdefault(page.parents[s], []).append(s)
     chain = [0]
     while own := children.get(chain[-1]):
@@ -201,9 +255,9 @@ def _densest(page: _Lines, lines: list, free: np.ndarray, mass: list[float]) ->
     for s in range(1, len(mass)):
         at[s] = depth.get(s, at[page.parents[s]])
     outside: list[list[bool]] = [[] for _ in chain]
-    for (*_, section, heading), ok in zip(lines, free):
+    for line, ok in zip(lines, free):
         if ok:
-            outside[at[section]].append(heading)
+            outside[at[line.section]].append(line.heading)
     for k, found in enumerate(outside[:-1]):
         if found and all(found):
             return chain[k]
