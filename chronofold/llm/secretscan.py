@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ BASE_KINDS = ["assign", "access", "hex"]
 KINDS = [*BASE_KINDS, "pem", "jwt", "der", "ssh", "encoded"]
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*?(?:PRIVATE KEY(?: BLOCK)?))-----(.*?)-----END \1-----", re.DOTALL)
+_PEM_LABEL = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*?(?:PRIVATE KEY(?: BLOCK)?))-----")
 # The shortest plain secret has 12 bytes (token=abcdef): 16 characters of base64, 24 of hex.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
@@ -155,23 +156,53 @@ def _wrapped(text: str) -> Iterator[tuple[int, str, int]]:
                     break
 
 
+def _pem(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of each BEGIN up to the next END of its label, in one pass from the right and one from the left."""
+    marks = list(_PEM_LABEL.finditer(text))
+    ends: list[re.Match | None] = []
+    last: dict[str, re.Match] = {}
+    for m in reversed(marks):
+        ends.append(last.get(m[2]))
+        if m[1] == "END":
+            last[m[2]] = m
+    at = 0
+    for m, end in zip(marks, reversed(ends)):
+        if m[1] == "BEGIN" and m.start() >= at and end:
+            at = end.end()
+            yield m.start(), at, m[2], text[m.end() : end.start()]
+
+
+class _Inside:
+    """Whether a stretch lies within one of some spans: by the furthest end among those that start before it."""
+
+    def __init__(self, spans: list[tuple[int, str, int]]):
+        self.starts, self.reach = [], []
+        for a, _, b in sorted(spans):
+            self.starts.append(a)
+            self.reach.append(max(b, self.reach[-1] if self.reach else 0))
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.starts, a)
+        return k > 0 and b <= self.reach[k - 1]
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of what is a secret by its structure, by start and then kind."""
     found = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|^=.{4}$|\s+", "", re.sub(r"\\+[nr]", "\n", m[2]))
+        for start, end, label, inner in _pem(text):
+            body = re.sub(r"(?m)^[A-Za-z-]+:.*$|^=.{4}$|\s+", "", re.sub(r"\\+[nr]", "\n", inner))
             data = _unbase64(body)
-            if data and (is_der(data) or is_ssh(data) or "PGP" in m[1] and data[0] & 0x80 or "ENCRYPTED" in m[2]):
-                found.append((m.start(), "pem", m.end()))
+            if data and (is_der(data) or is_ssh(data) or "PGP" in label and data[0] & 0x80 or "ENCRYPTED" in inner):
+                found.append((start, "pem", end))
     if "eyJ" in text or "ey" in text and "." in text:
         found += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    inside = [(a, b) for a, _, b in found]
-    found += [(a, kind, b) for a, kind, b in _wrapped(text) if not any(c <= a and b <= d for c, d in inside)]
-    inside = [(a, b) for a, _, b in found]
+    inside = _Inside(found)
+    found += [(a, kind, b) for a, kind, b in _wrapped(text) if not inside(a, b)]
+    inside = _Inside(found)
     for pattern, decode in ((_BASE64, _unbase64), (_HEX_ANY, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, b in inside) and (kind := _confirm(decode(m[0]))):
+            if not inside(m.start(), m.end()) and (kind := _confirm(decode(m[0]))):
                 found.append((m.start(), kind, m.end()))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
@@ -180,6 +211,14 @@ def _join(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
+def scan_text(text: str) -> tuple[int, int, int, str, str]:
+    """Counts of the plain kinds, digest of their spans, and all spans, in time linear in the text."""
+    base = base_spans(text)
+    counts = [sum(k == kind for _, k, _ in base) for kind in BASE_KINDS]
+    every = sorted([*base, *confirmed_spans(text)], key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+    return *counts, sha256_hex(_join(base)), _join(every)
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans) of every whole text; offsets in code points, ends exclusive.
 
@@ -187,16 +226,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     columns are not carried. No shuffle.
     """
 
-    def make():
-        def one(text: str) -> tuple:
-            base = base_spans(text)
-            counts = [sum(k == kind for _, k, _ in base) for kind in BASE_KINDS]
-            every = sorted([*base, *confirmed_spans(text)], key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
-            return *counts, sha256_hex(_join(base)), _join(every)
-
-        return one
-
-    return per_text(df, id_col, text_col, make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return per_text(df, id_col, text_col, lambda: scan_text, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_text(text: str) -> str:
