@@ -1,20 +1,21 @@
 """Token ids as wavelet matrices: one succinct shard answers access, count and occurrence, and decodes whole.
 
 A shard holds a run of documents. Its ids are split into bit-planes from the highest bit down; after each plane the ids
-are dealt stably, those with a 0 first. A plane is kept as bits (compressed) with the number of ones before every block.
+are dealt stably, those with a 0 first. A plane is kept as bits with the number of ones before every block. On disk the
+bits are compressed in chunks with a directory, so that a question inflates the chunks that it asks, and no others.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import bucket_of, id_cuts, partitions
@@ -25,6 +26,8 @@ END_ID = 2
 #: A shard is closed with the document in which it reaches this many ids.
 SHARD_IDS = 1_000_000
 BLOCK = 2048
+#: Bytes of a plane that are compressed together.
+CHUNK = 4096
 #: Stretches of text whose ids a worker keeps at most; then it starts afresh.
 CACHE_STRETCHES = 1_200_000
 #: Texts encoded at once.
@@ -32,44 +35,74 @@ BATCH_TEXTS = 500
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+class _Stored:
+    """The bit-planes of a stored shard; chunks are inflated when they are asked for, and kept."""
+
+    def __init__(self, data: bytes, n: int, at: int):
+        self.wide = (n + 7) // 8
+        self.chunks = -(-self.wide // CHUNK)
+        self.data, self.edges = data, np.frombuffer(data, np.uint32, BITS * self.chunks + 1, at).astype(np.int64) + at + 4 * (BITS * self.chunks + 1)
+        self.tool, self.inflated = zstandard.ZstdDecompressor(), {}
+
+    def _chunk(self, k: int) -> bytes:
+        if k not in self.inflated:
+            self.inflated[k] = self.tool.decompress(self.data[self.edges[k] : self.edges[k + 1]])
+        return self.inflated[k]
+
+    def __call__(self, level: int, a: int, b: int) -> np.ndarray:
+        """Bytes [a, b) of a plane, as far as there are."""
+        b = min(b, self.wide)
+        if a >= b:
+            return np.empty(0, np.uint8)
+        first, last = a // CHUNK, (b - 1) // CHUNK
+        found = b"".join([self._chunk(level * self.chunks + k) for k in range(first, last + 1)])
+        return np.frombuffer(found, np.uint8)[a - first * CHUNK : b - first * CHUNK]
+
+
 class Wavelet:
     """A sequence of ids below 2**16."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray]):
-        """planes: packed bits, highest first, little bit order; ranks: ones before each block of BLOCK bits, and in all."""
-        self.n, self.planes, self.ranks = n, planes, ranks
-        self.zeros = [n - int(r[-1]) for r in ranks]
+    def __init__(self, n: int, plane: Callable[[int, int, int], np.ndarray], ranks: np.ndarray):
+        """plane(level, a, b): bytes of a plane's packed bits, highest plane first, little bit order; ranks: for each plane the ones before each block of BLOCK bits, and in all."""
+        self.n, self.plane, self.ranks = n, plane, ranks
+        self.zeros = (n - ranks[:, -1].astype(np.int64)).tolist()
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Wavelet:
-        seq, planes, ranks = ids.astype(np.uint16), [], []
-        for shift in reversed(range(BITS)):
-            bit = (seq & np.uint16(1 << shift)).astype(bool)
+        seq, planes = ids.astype(np.uint16), []
+        ranks = np.zeros((BITS, (len(ids) + BLOCK - 1) // BLOCK + 1), np.uint32)
+        for level in range(BITS):
+            bit = (seq & np.uint16(1 << (BITS - 1 - level))).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(packed)
-            blocks = np.add.reduceat(_ONES[packed], np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if len(packed) else np.empty(0, np.int64)
-            ranks.append(np.concatenate([[0], np.cumsum(blocks)]).astype(np.uint32))
+            if len(packed):
+                ranks[level, 1:] = np.cumsum(np.add.reduceat(_ONES[packed], np.arange(0, len(packed), BLOCK // 8), dtype=np.int64))
             seq = np.concatenate([seq.compress(~bit), seq.compress(bit)])
-        return cls(len(ids), planes, ranks)
+        return cls(len(ids), lambda level, a, b: planes[level][a:b], ranks)
 
     def to_bytes(self) -> bytes:
-        body = b"".join([p.tobytes() for p in self.planes] + [r.tobytes() for r in self.ranks])
-        return self.n.to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(body)
+        """The length, the ranks, a directory of where each compressed chunk of each plane begins, and the chunks."""
+        tool, wide = zstandard.ZstdCompressor(level=1), (self.n + 7) // 8
+        parts = [tool.compress(self.plane(level, a, a + CHUNK).tobytes()) for level in range(BITS) for a in range(0, wide, CHUNK)]
+        edges = np.cumsum([0, *map(len, parts)]).astype(np.uint32)
+        return b"".join([self.n.to_bytes(8, "little"), self.ranks.tobytes(), edges.tobytes(), *parts])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Wavelet:
         n = int.from_bytes(data[:8], "little")
-        body = zstandard.ZstdDecompressor().decompress(data[8:])
-        wide, blocks = (n + 7) // 8, (n + BLOCK - 1) // BLOCK + 1
-        planes = [np.frombuffer(body, np.uint8, wide, k * wide) for k in range(BITS)]
-        return cls(n, planes, [np.frombuffer(body, np.uint32, blocks, BITS * wide + 4 * k * blocks) for k in range(BITS)])
+        blocks = (n + BLOCK - 1) // BLOCK + 1
+        ranks = np.frombuffer(data, np.uint32, BITS * blocks, 8).reshape(BITS, blocks)
+        return cls(n, _Stored(data, n, 8 + ranks.nbytes), ranks)
 
     def _rank(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
-        plane, block = self.planes[level], i // BLOCK
-        a, b = block * BLOCK // 8, i // 8
-        ones = int(self.ranks[level][block]) + int(_ONES[plane[a:b]].sum())
-        return ones + (int(_ONES[plane[b] & ((1 << i % 8) - 1)]) if i % 8 else 0)
+        block = i // BLOCK
+        ones = int(self.ranks[level, block])
+        if i % BLOCK:
+            part = self.plane(level, block * BLOCK // 8, i // 8 + 1)
+            whole = i // 8 - block * BLOCK // 8
+            ones += int(_ONES[part[:whole]].sum()) + (int(_ONES[part[whole] & ((1 << i % 8) - 1)]) if i % 8 else 0)
+        return ones
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Where the ``k``-th (from 0) bit of this kind stands: blocks by bisection, then one block."""
@@ -77,14 +110,14 @@ class Wavelet:
         before = ranks if bit else np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
         block = int(np.searchsorted(before, k, side="right")) - 1
         a = block * BLOCK
-        bits = np.unpackbits(self.planes[level][a // 8 : a // 8 + BLOCK // 8], bitorder="little")[: self.n - a]
+        bits = np.unpackbits(self.plane(level, a // 8, a // 8 + BLOCK // 8), bitorder="little")[: self.n - a]
         return a + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         value = 0
         for level in range(BITS):
             ones = self._rank(level, i)
-            bit = int(self.planes[level][i // 8] >> (i % 8)) & 1
+            bit = int(self.plane(level, i // 8, i // 8 + 1)[0] >> (i % 8)) & 1
             i = self.zeros[level] + ones if bit else i - ones
             value = 2 * value + bit
         return value
@@ -111,11 +144,18 @@ class Wavelet:
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def occurrences(self, token: int) -> np.ndarray:
+        """All places of a token, ascending: a select for each, or one decoding where it occurs often."""
+        found = self.count(token)
+        if 32 * found > self.n:
+            return np.flatnonzero(self.decode() == token)
+        return np.array([self.occurrence(token, k) for k in range(found)], np.int64)
+
     def decode(self) -> np.ndarray:
         """All ids: the stable deals undone from the lowest plane up."""
         seq = np.zeros(self.n, np.uint16)
         for level in reversed(range(BITS)):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.plane(level, 0, (self.n + 7) // 8), count=self.n, bitorder="little").astype(bool)
             up = np.empty_like(seq)
             zeros = self.zeros[level]
             up[np.flatnonzero(~bit)] = seq[:zeros]
@@ -262,19 +302,87 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             yield close()
 
     kinds = "bucket int, number int, first long, n_ids long, docs array<long>, sizes array<long>, wavelet binary"
-    dealt.mapInArrow(shards, kinds).write.option("compression", "zstd").parquet(path)
+    # the planes are compressed already, chunk by chunk
+    dealt.mapInArrow(shards, kinds).write.option("compression", "uncompressed").parquet(path)
 
 
-def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, decoded from the shards below ``path``; no shuffle.
-
-    start: ids of all documents before it. The driver adds up one number for each range of document ids.
-    """
+def _shards(spark: SparkSession, path: str) -> tuple[DataFrame, list[int]]:
+    """The shards below ``path``, and for each range of document ids how many ids are before it: one number each."""
     shards = spark.read.schema("bucket int, number int, first long, n_ids long, docs array<long>, sizes array<long>, wavelet binary").parquet(path)
     totals = {r["bucket"]: r["n"] for r in shards.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect()}
     starts = [0]
     for b in range(max(totals, default=0)):
         starts.append(starts[-1] + totals.get(b, 0))
+    return shards, starts
+
+
+def _begins(starts: list[int]) -> Column:
+    """Where a shard begins among all ids."""
+    return F.get(F.lit(starts).cast("array<bigint>"), F.col("bucket")) + F.col("first")
+
+
+def access(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
+    """(place, token) of the given places among all ids, in the order of documents; places that are none have no row.
+
+    Shards without such a place are skipped by what Parquet tells of them; of the others 16 chunks are inflated for each place.
+    """
+    shards, starts = _shards(spark, path)
+    wanted = np.array(sorted(set(places)), np.int64)
+    rows = shards.select(_begins(starts).alias("begin"), "n_ids", "wavelet")
+    held = F.lit(False)
+    for a in range(0, len(wanted), 100):  # ranges of places: a filter of bounded size that never drops a shard with one
+        held = held | ((F.col("begin") <= int(wanted[a : a + 100][-1])) & (F.col("begin") + F.col("n_ids") > int(wanted[a])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, n, data in zip(*(batch.column(k) for k in range(3))):
+                own = wanted[np.searchsorted(wanted, begin.as_py()) : np.searchsorted(wanted, begin.as_py() + n.as_py())]
+                if len(own):
+                    shard = Wavelet.from_bytes(data.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([shard.access(int(p) - begin.as_py()) for p in own], pa.int32())], names=["place", "token"])
+
+    return rows.filter(held).mapInArrow(run, "place long, token int")
+
+
+def count(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of the given tokens occurs in all documents; tokens that do not occur have 0.
+
+    A task inflates at most 32 chunks of a shard for each token; sums are combined map-side.
+    """
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                shard = Wavelet.from_bytes(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int32()), pa.array([shard.count(t) for t in wanted], pa.int64())], names=["token", "n"])
+
+    none = spark.createDataFrame([(t, 0) for t in wanted], "token int, n long")
+    found = _shards(spark, path)[0].select("wavelet").mapInArrow(run, "token int, n long")
+    return found.unionByName(none).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, place) of each occurrence of a token; place: among all ids, in the order of documents."""
+    shards, starts = _shards(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                begin, docs, sizes, data = (batch.column(k)[i] for k in range(4))
+                found = Wavelet.from_bytes(data.as_py()).occurrences(token)
+                owner = np.searchsorted(np.cumsum(sizes.values.to_numpy()), found, side="right")
+                yield pa.RecordBatch.from_arrays([docs.values.take(pa.array(owner)), pa.array(found + begin.as_py())], names=[id_col, "place"])
+
+    return shards.select(_begins(starts).alias("begin"), "docs", "sizes", "wavelet").mapInArrow(run, f"`{id_col}` long, place long")
+
+
+def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, decoded from the shards below ``path``; no shuffle.
+
+    start: ids of all documents before it. The driver adds up one number for each range of document ids.
+    """
+    shards, starts = _shards(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
