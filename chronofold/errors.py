@@ -35,6 +35,10 @@ class StorageError(EngineError):
     """Reading or writing the store failed."""
 
 
+class ConflictError(StorageError):
+    """Another writer has committed this version."""
+
+
 class IdentityError(EngineError):
     """Identity resolution failed."""
 

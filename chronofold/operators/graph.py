@@ -138,6 +138,16 @@ def louvain(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     return member.join(least, "community").select("entity_id", F.col("name").alias("community"))
 
 
+def modularity(edges: DataFrame, members: DataFrame) -> float:
+    """How much heavier the communities (entity_id, community) are inside than chance would have it: 0 for one community of all."""
+    steps = both_ways(edges.filter("source_id != target_id")).select("source_id", "target_id").distinct()
+    a, b = (members.select(F.col("entity_id").alias(c), F.col("community").alias(f"_{c}")) for c in ("source_id", "target_id"))
+    sums = steps.join(a, "source_id").join(b, "target_id").groupBy(F.col("_source_id").alias("community")).agg(F.count("*").alias("ends"), F.count_if(F.col("_source_id") == F.col("_target_id")).alias("inside"))
+    total = F.sum("ends").cast("double")
+    found = sums.agg((F.sum("inside") / total - F.sum(F.col("ends").cast("double") ** 2) / total**2).alias("q")).first()["q"]
+    return float(found or 0.0)
+
+
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(entity_id, score) after a fixed number of rounds; what nodes without an exit hold is shared out evenly."""
     steps = cut(edges.select("source_id", "target_id").distinct())

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.plans import longfold
 from chronofold.plans.definitions import Entity
 from chronofold.plans.fold import EntityFold, fold_entities, history_of
-from chronofold.session import store
+from chronofold.session import cut, store
 
 
 def entity_rows(folded: DataFrame, entity: Entity) -> DataFrame:
@@ -44,20 +46,23 @@ def relationship_rows(folded: DataFrame) -> DataFrame:
     return _ended(_stated(folded))
 
 
-def build_history(events: DataFrame, fold: EntityFold, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_history(events: DataFrame, fold: EntityFold, limit: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(history, relationships, failed entities) from events with their entity ids.
 
     Entities with more than ``limit`` events (by default ``longfold.LONG``) are folded in order from a sorted partition
-    and never held in one array; all others by the Catalyst fold.
+    and never held in one array; all others by the Catalyst fold. keep: writes the folded entities, so that what is drawn
+    from them is not folded again. An ordered fold is sequential in its entity: one with very many events is one long task.
     """
     entity = fold.entity
-    long = longfold.long_entities(events, limit)
-    short = events.filter(~F.col("entity_id").isin(long)) if long else events
+    long = cut(longfold.long_entities(events, limit))
+    any_long = not long.isEmpty()
+    short = events.join(long, "entity_id", "left_anti").select(events.columns) if any_long else events
     folded = fold_entities(short, fold)
+    folded = keep(folded) if keep else folded
     failed = folded.filter("err is not null").select("entity_id", F.lit(entity.name).alias("entity_type"), F.col("err").alias("error"))
     rows, relations = entity_rows(folded, entity), _stated(folded)
-    if long:
-        found = store(longfold.fold_in_order(events.filter(F.col("entity_id").isin(long)), entity), "long")
+    if any_long:
+        found = store(longfold.fold_in_order(events.join(long, "entity_id", "left_semi"), entity), "long")
         more_rows, more_relations, more_failed = longfold.split_out(found, entity)
         rows, relations, failed = rows.unionByName(more_rows), relations.unionByName(more_relations), failed.unionByName(more_failed)
     return rows, _ended(relations), failed

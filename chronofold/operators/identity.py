@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.operators.components import connected_components
+from chronofold.session import cut
 
 
 def candidate_id(entity_type: Column, value: Column) -> Column:
@@ -40,14 +41,46 @@ def resolve(events: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     label = F.coalesce("component", "candidate")
     named = all_hints.join(found.withColumnRenamed("node", "candidate"), "candidate", "left").select("entity_type", "value", "field", "candidate", label.alias("entity_id"))
     if forced is not None:
-        # a winner that was chosen by hand names its whole component
-        chosen = forced.join(found.withColumnRenamed("node", "winner"), "winner", "left").select(F.coalesce("component", "winner").alias("entity_id"), F.col("winner").alias("named"))
-        losers = forced.select(F.col("loser").alias("named")).distinct()
-        last = chosen.join(losers, "named", "left_anti").groupBy("entity_id").agg(F.min("named").alias("named"))
-        named = named.join(last, "entity_id", "left").withColumn("entity_id", F.coalesce("named", "entity_id")).drop("named")
+        by_hand = _named_by_hand(found, forced).select(F.col("component").alias("entity_id"), "label")
+        named = named.join(by_hand, "entity_id", "left").withColumn("entity_id", F.coalesce("label", "entity_id")).drop("label")
     return named.select("entity_type", "value", "field", "candidate", "entity_id")
 
 
+def _named_by_hand(found: DataFrame, forced: DataFrame) -> DataFrame:
+    """(component, label): components that hold a winner chosen by hand are named by it, of several by the smallest that has not lost."""
+    chosen = forced.join(found.withColumnRenamed("node", "winner"), "winner", "left").select(F.coalesce("component", "winner").alias("component"), F.col("winner").alias("label"))
+    losers = forced.filter("loser != winner").select(F.col("loser").alias("label")).distinct()
+    return chosen.join(losers, "label", "left_anti").groupBy("component").agg(F.min("label").alias("label"))
+
+
+def extend(events: DataFrame, known: DataFrame, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(identity rows of hints that are new, renames): what new events add to an identity table.
+
+    known: (entity_type, value, entity_id) of the hints so far. An event links the entities that its hints have already,
+    and new hints by their candidate ids; components are found over these links alone, so old ones are never walked.
+    renames: (from_entity_id, into_entity_id) of entities that turn out to be one with another. Ids are those that
+    :func:`resolve` gives for all events together, as an entity's id is the smallest candidate of its component.
+    """
+    each = events.select("sequence", F.explode("hints").alias("h")).select("sequence", "h.entity_type", "h.value", "h.field")
+    named = each.select("entity_type", "value").distinct().join(known, ["entity_type", "value"], "left")
+    placed = cut(each.join(named.withColumn("node", F.coalesce("entity_id", candidate_id(F.col("entity_type"), F.col("value")))), ["entity_type", "value"]))
+    first = placed.groupBy("sequence", "entity_type").agg(F.min("node").alias("a"))
+    links = placed.join(first, ["sequence", "entity_type"]).filter("a != node").select("a", F.col("node").alias("b"))
+    if forced is not None:
+        links = links.unionByName(forced.select(F.col("loser").alias("a"), F.col("winner").alias("b")).filter("a != b"))
+    found = cut(connected_components(links.distinct()))
+    label = found.select(F.col("node"), F.col("component").alias("label"))
+    if forced is not None:
+        label = found.join(_named_by_hand(found, forced), "component", "left").select("node", F.coalesce("label", "component").alias("label"))
+    fresh = placed.filter("entity_id is null").groupBy("entity_type", "value").agg(F.min("field").alias("field"), F.first("node").alias("candidate"))
+    rows = fresh.join(label.withColumnRenamed("node", "candidate"), "candidate", "left").select("entity_type", "value", "field", "candidate", F.coalesce("label", "candidate").alias("entity_id"))
+    old = placed.filter("entity_id is not null").select(F.col("entity_id").alias("node"))
+    if forced is not None:
+        old = old.unionByName(forced.select(F.explode(F.array("loser", "winner")).alias("node")))
+    renames = old.distinct().join(label, "node").filter("node != label").select(F.col("node").alias("from_entity_id"), F.col("label").alias("into_entity_id"))
+    return rows, renames
+
+
 def event_entities(events: DataFrame, identity: DataFrame) -> DataFrame:
     """(sequence, entity_type, entity_id): the entities that each event belongs to, one for each type."""
     each = events.select("sequence", F.explode("hints").alias("h")).select("sequence", "h.entity_type", "h.value")

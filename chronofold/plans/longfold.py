@@ -28,10 +28,10 @@ LONG = 20_000
 ROWS = 5_000
 
 
-def long_entities(events: DataFrame, limit: int | None = None) -> list[str]:
-    """Ids of the long entities: at most a ``limit``-th of the number of events."""
+def long_entities(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """(entity_id) of the long entities, counted map-side first."""
     limit = LONG if limit is None else limit
-    return [r["entity_id"] for r in events.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("entity_id").collect()]
+    return events.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("entity_id")
 
 
 def _row_schema(entity: Entity) -> StructType:

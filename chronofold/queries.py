@@ -160,11 +160,6 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(first, ["event_id", "sequence"]).select("sequence", "event_type", "data.user", "seen")
 
 
-@_query("SELECT event_id AS sequence, event_type FROM events WHERE event_id >= 100 AND event_type <> 'view' ORDER BY ts, event_id")
-def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").filter((F.col("event_id") >= 100) & (F.col("event_type") != "view")).orderBy("ts", "event_id").select(F.col("event_id").alias("sequence"), "event_type")
-
-
 # --- expressions -----------------------------------------------------------------------------------------------------
 
 
@@ -546,17 +541,6 @@ def erase_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(e.filter("event_type = 'error' and value > 95").select("user_id").distinct(), "user_id", "left_anti").select("event_id", "user_id")
 
 
-@_query("SELECT event_id, CASE WHEN user_id % 7 = 0 THEN '[REDACTED]' ELSE CAST(user_id AS VARCHAR) END AS user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def redact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _raw_events(spark, sf_dir)
-    as_map = F.from_json("raw", "map<string,string>")
-    hidden = F.to_json(F.transform_values(as_map, lambda k, v: F.when(k == "user_id", F.lit("[REDACTED]")).otherwise(v)))
-    mine = F.get_json_object("raw", "$.user_id").cast("long") % 7 == 0
-    done = raw.withColumn("raw", F.when(mine, hidden).otherwise(F.col("raw")))
-    k = F.coalesce(F.get_json_object("raw", "$.props.k"), F.get_json_object(F.get_json_object("raw", "$.props"), "$.k"))
-    return done.select(F.col("sequence").alias("event_id"), F.get_json_object("raw", "$.user_id").alias("user_id"), k.cast("long").alias("k"))
-
-
 # --- graph -----------------------------------------------------------------------------------------------------------
 
 
@@ -621,10 +605,10 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""{_EDGE_SQL}, ids AS (SELECT a AS id FROM e UNION SELECT b FROM e), n AS (SELECT count(*) AS n FROM ids), o AS (SELECT a, count(*) AS deg FROM e GROUP BY a),
     p0 AS (SELECT id, 1.0::DOUBLE / n AS x FROM ids, n),
-    {', '.join(f"g{i} AS (SELECT b AS id, sum(x / deg) AS got FROM p{i - 1} JOIN e ON a = id JOIN o USING (a) GROUP BY b), h{i} AS (SELECT sum(x) AS held FROM p{i - 1} WHERE id NOT IN (SELECT a FROM o)), p{i} AS (SELECT ids.id, 0.15 / n + 0.85 * (coalesce(got, 0) + held / n) AS x FROM ids LEFT JOIN g{i} USING (id), n, h{i})" for i in range(1, 6))}
-    SELECT id AS entity_id, round(x, 9) AS score FROM p5""")
+    {', '.join(f"g{i} AS MATERIALIZED (SELECT b AS id, sum(x / deg) AS got FROM p{i - 1} JOIN e ON a = id JOIN o USING (a) GROUP BY b), h{i} AS MATERIALIZED (SELECT sum(x) AS held FROM p{i - 1} WHERE id NOT IN (SELECT a FROM o)), p{i} AS MATERIALIZED (SELECT ids.id, 0.15 / n + 0.85 * (coalesce(got, 0) + held / n) AS x FROM ids LEFT JOIN g{i} USING (id), n, h{i})" for i in range(1, 21))}
+    SELECT id AS entity_id, round(x, 9) AS score FROM p20""")
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pagerank(_edges(spark, sf_dir), rounds=5).select("entity_id", F.round("score", 9).alias("score"))
+    return G.pagerank(_edges(spark, sf_dir)).select("entity_id", F.round("score", 9).alias("score"))
 
 
 @_query("SELECT 'c' || c_custkey AS entity_id, 1.0::DOUBLE AS score FROM customer WHERE c_custkey <> 1 AND c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 1) ORDER BY entity_id LIMIT 5")
@@ -632,7 +616,9 @@ def graph_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.similar(_edges(spark, sf_dir).filter("relationship_type = 'lives_in'"), "c1", 5)
 
 
-@_query()
+@_query(f"""{_EDGE_SQL}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), l0 AS (SELECT DISTINCT a AS id, a AS c FROM u),
+    {', '.join(f"l{i} AS MATERIALIZED (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, c) AS place FROM (SELECT u.a AS id, c FROM u JOIN l{i - 1} ON u.b = l{i - 1}.id UNION ALL SELECT id, c FROM l{i - 1}) GROUP BY id, c) WHERE place = 1)" for i in range(1, 21))}
+    SELECT id AS entity_id, c AS community FROM l20""")
 def graph_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.communities(_edges(spark, sf_dir), "label_propagation")
 
@@ -642,9 +628,24 @@ def graph_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.communities(_edges(spark, sf_dir), "louvain")
 
 
-@_query()
+#: Every path of two steps leads through a nation, and is the only one between its ends.
+@_query(f"""{_EDGE_SQL}, ids AS (SELECT a AS id FROM e UNION SELECT b FROM e), n AS (SELECT count(*) AS n FROM ids), through AS (SELECT x.b AS id, count(*) AS paths FROM e x JOIN e y ON y.a = x.b GROUP BY x.b)
+    SELECT id AS entity_id, round(coalesce(paths, 0) / ((n - 1.0) * (n - 2.0)), 12) AS score FROM ids LEFT JOIN through USING (id), n""")
 def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.betweenness(_edges(spark, sf_dir))
+    return G.betweenness(_edges(spark, sf_dir)).select("entity_id", F.round("score", 12).alias("score"))
+
+
+@_query(f"""{_EDGE_SQL}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), k AS (SELECT a AS id, count(*) AS k FROM u GROUP BY a), m AS (SELECT count(*) AS m FROM u),
+    r AS (SELECT 'c' || c_custkey AS id, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT 's' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'n' || n_nationkey, n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, n_regionkey FROM nation),
+    q AS (SELECT sum(part) AS q FROM (SELECT sum(k) / max(m) - (sum(k) / max(m)) ** 2 AS part FROM r JOIN k USING (id), m GROUP BY r))
+    SELECT (SELECT count(*) FROM k) AS entities, round(q, 9) AS of_regions, TRUE AS as_good FROM q""")
+def graph_louvain_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities are at least as good as the components, which are the regions."""
+    edges = _edges(spark, sf_dir)
+    found = cut(G.communities(edges, "louvain"))
+    regions = G.connected_components(edges).withColumnRenamed("component", "community")
+    own, of_regions = G.modularity(edges, found), G.modularity(edges, regions)
+    return found.agg(F.count("*").alias("entities")).select("entities", F.round(F.lit(of_regions), 9).alias("of_regions"), F.lit(own >= of_regions - 1e-9).alias("as_good"))
 
 
 # --- query layer and passthrough -------------------------------------------------------------------------------------
@@ -662,9 +663,9 @@ def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("customers"), F.count_distinct("c_mktsegment").alias("segments"))
 
 
-@_query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey <= 60) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey BETWEEN 40 AND 90) s ON c_custkey = s_suppkey")
+@_query("SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
 def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = _t(spark, sf_dir, "customer").filter("c_custkey <= 60"), _t(spark, sf_dir, "supplier").filter("s_suppkey between 40 and 90")
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
     return c.join(s, F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
 
 
@@ -673,9 +674,9 @@ def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 47)")
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return _t(spark, sf_dir, "part").join(_t(spark, sf_dir, "lineitem").filter("l_quantity > 47"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
 
 
 @_query("""
@@ -824,3 +825,5 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "time_rule_history"
+
+from chronofold import store_queries  # noqa: E402, F401  adds the queries that go through a store

@@ -33,6 +33,7 @@ class BuildResult:
     events_failed: int = 0
     failures: list[EventFailure] = field(default_factory=list)
     timing: dict[str, float] = field(default_factory=dict)
+    failures_path: str | None = None
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,7 @@ class IngestResult:
     failures: list[EventFailure] = field(default_factory=list)
     build_result: BuildResult | None = None
     timing: dict[str, float] = field(default_factory=dict)
+    failures_path: str | None = None
 
 
 @dataclass(frozen=True)

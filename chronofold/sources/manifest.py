@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from chronofold.errors import StorageError
+from chronofold.errors import ConflictError, StorageError
 
 
 class ManifestStore:
@@ -41,7 +41,7 @@ class ManifestStore:
             stream.close()
 
     def commit(self, base: int, content: dict[str, Any]) -> int:
-        """Make ``content`` the version after ``base``; StorageError if another writer was first."""
+        """Make ``content`` the version after ``base``; ConflictError if another writer was first."""
         made = self._path(f".{uuid.uuid4().hex}")
         out = self._fs.create(made, False)
         out.write(bytearray(json.dumps(content, default=str).encode()))
@@ -53,5 +53,7 @@ class ManifestStore:
             context.rename(context.makeQualified(made), context.makeQualified(final), nothing)
         except Exception as error:
             self._fs.delete(made, False)
-            raise StorageError(f"version {base + 1} of {self.folder} is there already") from error
+            if "FileAlreadyExists" in str(error):
+                raise ConflictError(f"version {base + 1} of {self.folder} is there already") from error
+            raise StorageError(f"version {base + 1} of {self.folder} could not be written") from error
         return base + 1

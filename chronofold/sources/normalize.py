@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -251,6 +252,45 @@ class Normalizer:
         return value if kind == to else as_text(value, kind) if to in ("any", "string") else value
 
 
+def redacted(raw: Column, paths: list[str], mark: str = "[REDACTED]") -> Column:
+    """JSON text with ``mark`` at the given dotted paths, as far as they are there; all else keeps its value and type.
+
+    Numbers in a path are places in arrays. Text that is no JSON object becomes the mark itself, as it may hold anything.
+    """
+    tree: dict[str, Any] = {}
+    for path in paths:
+        node = tree
+        *above, last = path.split(".")
+        for name in above:
+            if node.get(name) is True:
+                break
+            node = node.setdefault(name, {})
+        else:
+            node[last] = True
+    hidden = F.parse_json(F.lit(json.dumps(mark)))
+
+    def edit(value: Column, node: dict[str, Any]) -> Column:
+        made = lambda old, below: hidden if below is True else edit(old, below)
+
+        def change(name: Column, old: Column, names: dict[str, Any]) -> Column:
+            found = old
+            for key, below in names.items():
+                found = F.when(name == key, made(old, below)).otherwise(found)
+            return found
+
+        as_map = F.transform_values(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: change(k, v, node))
+        places = {k: v for k, v in node.items() if k.isdigit()}
+        as_array = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: change(i.cast("string"), v, places)) if places else None
+        kind = F.schema_of_variant(value)
+        out = F.when(kind.startswith("OBJECT"), F.to_variant_object(as_map))
+        if as_array is not None:
+            out = out.when(kind.startswith("ARRAY"), F.to_variant_object(as_array))
+        return out.otherwise(value)
+
+    whole = F.try_parse_json(raw)
+    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.to_json(edit(whole, tree))).otherwise(F.lit(json.dumps(mark))) if tree else raw
+
+
 def failures(normalized: DataFrame, raw_col: str = "raw", keep: list[str] | None = None) -> DataFrame:
     """The rows that failed, as a dead letter has them; keep: columns of theirs to carry along."""
     return normalized.filter(F.col("error").isNotNull()).select(*(keep or []), F.col(raw_col).alias("raw"), "error", F.lit("normalization").alias("stage"), "source", F.lit(False).alias("recoverable"))
