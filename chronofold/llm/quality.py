@@ -7,7 +7,9 @@ features the product of their low-rank vectors, summed in linear time by the ide
 
 from __future__ import annotations
 
+import itertools
 import math
+import operator
 import re
 import zlib
 from collections import Counter
@@ -44,58 +46,62 @@ def _shape(word: str) -> str:
     return word[:12]
 
 
+#: What is kept of each word: two hashed features, and numbers that a text's statistics are sums of.
+_SUMS = ["one", "length", "square", "upper", "digits", "letters", "shouted", "capitalised", "marked", "bare", "long", "short"]
+
+
+class _Words(dict):
+    """Places of words in tables of their features and numbers, each worked out when a word is met first."""
+
+    def __init__(self) -> None:
+        self.hashed = np.zeros((1024, 2), np.int64)
+        self.sums = np.zeros((1024, len(_SUMS)))
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.hashed):
+            self.hashed, self.sums = (np.concatenate([t, np.zeros_like(t)]) for t in (self.hashed, self.sums))
+        shape, n = _shape(word), len(word)
+        self.hashed[at] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"shape:" + shape.encode("utf-8", "surrogatepass")) % BUCKETS
+        letters = [(x.isupper(), x.isdigit(), x.isalpha(), x.isalnum()) for x in word]
+        upper, digits, alpha, either = (sum(kind) for kind in zip(*letters))
+        self.sums[at] = 1, n, n * n, upper, digits, alpha, word.isupper() and n > 1, word.istitle(), n > 2 and not letters[-1][3] and not letters[-2][3], not either, n > 12, n < 4
+        self[word] = at
+        return at
+
+
 class Features:
     """Sparse features of whole texts; metadata is what the text itself tells (its size), never its labels, language or source."""
 
     def __init__(self) -> None:
-        self.of_word: dict[str, tuple[int, int]] = {}
-
-    def _word(self, word: str) -> tuple[int, int]:
-        shape = _shape(word)
-        found = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"shape:" + shape.encode("utf-8", "surrogatepass")) % BUCKETS)
-        if len(self.of_word) >= CACHE_WORDS:
-            self.of_word.clear()
-        self.of_word[word] = found
-        return found
+        self.words = _Words()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(indices, values), indices ascending and distinct. An empty text has statistics only."""
         listed = text.split()
         counts = Counter(listed)
-        known, sums = self.of_word, {}
-        for word, n in counts.items():
-            for feature in known.get(word) or self._word(word):
-                sums[feature] = sums.get(feature, 0) + n
-        index = np.fromiter(sums.keys(), np.int64, len(sums))
-        value = np.log1p(np.fromiter(sums.values(), np.float64, len(sums)))
+        if len(self.words) + len(counts) > CACHE_WORDS:
+            self.words = _Words()
+        at = np.fromiter(map(self.words.__getitem__, counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        index, back = np.unique(self.words.hashed[at], return_inverse=True)
+        value = np.log1p(np.bincount(back.ravel(), np.repeat(n, 2), len(index)))
         value /= max(1e-9, math.sqrt(float(value @ value)))
-        order = np.argsort(index)
-        stats = np.array(self._statistics(text, listed, counts))
-        return np.concatenate([index[order], BUCKETS + np.arange(len(stats))]).astype(np.int32), np.concatenate([value[order], stats]).astype(np.float32)
+        stats = np.array(self._statistics(text, listed, dict(zip(_SUMS, (n @ self.words.sums[at]).tolist())), len(counts), float(n.max(initial=0))))
+        return np.concatenate([index, BUCKETS + np.arange(len(stats))]).astype(np.int32), np.concatenate([value, stats]).astype(np.float32)
 
     @staticmethod
-    def _statistics(text: str, words: list[str], counts: Counter) -> list[float]:
+    def _statistics(text: str, words: list[str], sums: dict[str, float], distinct: int, commonest: float) -> list[float]:
         n, w = max(1, len(text)), max(1, len(words))
         lines = text.split("\n")
-        total = sum(len(x) * k for x, k in counts.items())
-        squares = sum(len(x) ** 2 * k for x, k in counts.items())
-        upper = sum(k * sum(map(str.isupper, x)) for x, k in counts.items())
-        digits = sum(k * sum(map(str.isdigit, x)) for x, k in counts.items())
-        letters = sum(k * sum(map(str.isalpha, x)) for x, k in counts.items())
-        marks = total - letters - digits
-        shouted = sum(k for x, k in counts.items() if x.isupper() and len(x) > 1)
-        capital = sum(k for x, k in counts.items() if x.istitle())
-        marked = sum(k for x, k in counts.items() if len(x) > 2 and not x[-1].isalnum() and not x[-2].isalnum())
-        bare = sum(k for x, k in counts.items() if not any(map(str.isalnum, x)))
-        again = sum(a == b for a, b in zip(words, words[1:]))
-        seen = len(set(lines))
-        mean = total / w
+        total, mean = sums["length"], sums["length"] / w
+        again = sum(map(operator.eq, words, itertools.islice(words, 1, None)))
         return [
-            min(1.0, math.log1p(n) / 14), min(1.0, math.log1p(len(lines)) / 10), min(1.0, mean / 20), sum(k for x, k in counts.items() if len(x) > 12) / w,
-            sum(k for x, k in counts.items() if len(x) < 4) / w, len(counts) / w, again / w, 1 - seen / len(lines), upper / n, digits / n, marks / n,
-            max(0, n - total - text.count(" ") - text.count("\n")) / n, (n - total) / n, capital / w, shouted / w, marked / w, bare / w,
-            sum(x[:1] in "-*•" for x in lines if x) / len(lines), sum(x[-1:] in ".!?" for x in lines if x) / len(lines), (counts.most_common(1)[0][1] / w) if counts else 0.0,
-            min(1.0, math.sqrt(max(0.0, squares / w - mean * mean)) / 10),
+            min(1.0, math.log1p(n) / 14), min(1.0, math.log1p(len(lines)) / 10), min(1.0, mean / 20), sums["long"] / w, sums["short"] / w, distinct / w, again / w, 1 - len(set(lines)) / len(lines),
+            sums["upper"] / n, sums["digits"] / n, (total - sums["letters"] - sums["digits"]) / n, max(0, n - total - text.count(" ") - text.count("\n")) / n, (n - total) / n,
+            sums["capitalised"] / w, sums["shouted"] / w, sums["marked"] / w, sums["bare"] / w,
+            sum(x[:1] in "-*•" for x in lines if x) / len(lines), sum(x[-1:] in ".!?" for x in lines if x) / len(lines), commonest / w,
+            min(1.0, math.sqrt(max(0.0, sums["square"] / w - mean * mean)) / 10),
         ]
 
 
@@ -159,8 +165,9 @@ def fold(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_ROWS) -> FactorisationMachine:
     """Fit on at most ``sample`` labelled rows out of the folds that may train, by the smallest hashes of their ids.
 
-    Features are taken where the texts are; the driver gets the sample's sparse vectors. Rows without a label, and labels
-    without a row, count for nothing. Without labelled rows the model scores every text 1/2.
+    Features are taken where the texts are; the driver gets the sample's sparse vectors, one for each id: of repeated ids
+    the least text counts, and the greatest label. Rows without a label, and labels without a row, count for nothing.
+    Without labelled rows the model scores every text 1/2.
     """
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != HELD_OUT))
@@ -178,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "y", "index", "value"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    told = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
     rows = sorted(told.mapInArrow(run, f"id {kind}, y int, index binary, value binary").collect(), key=lambda r: (r["id"], bytes(r["index"]), bytes(r["value"])))
     vectors = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in rows]
     return FactorisationMachine.fit(vectors, np.array([float(r["y"] > 0) for r in rows]), BUCKETS + len(STATISTICS))
