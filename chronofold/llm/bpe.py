@@ -9,9 +9,11 @@ at once. It ends as soon as every composed function is constant, here after a fe
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,8 @@ WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232,
 SCAN_CHARS = 1_000_000
 #: Pieces whose merges are kept by a worker at most; then it starts afresh.
 CACHE_PIECES = 400_000
+#: Bytes decoded at once.
+DECODE_BYTES = 1 << 20
 
 
 def _transition(state: int, kind: int) -> int:
@@ -173,6 +177,7 @@ class ByteBPE:
         self.tokens = [b""] * (1 + max(self.ranks.values()))
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.pieces = _Pieces(self.ranks)
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
@@ -211,8 +216,20 @@ class ByteBPE:
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Where each token's bytes begin in the encoded text, and its length at the end."""
-        sizes = np.array([len(self.tokens[i]) for i in ids.tolist()], np.int64)
-        return np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate([[0], np.cumsum(self.sizes[ids])])
+
+    def decode_span(self, ids: np.ndarray, offsets: np.ndarray, a: int, b: int) -> bytes:
+        """Bytes [a, b) of the encoded text: only the tokens that offsets place there are decoded."""
+        first = max(0, int(np.searchsorted(offsets, a, side="right")) - 1)
+        last = int(np.searchsorted(offsets, b, side="left"))
+        found = self.decode(ids[first:last])
+        return found[max(0, a - int(offsets[first])) : max(0, b - int(offsets[first]))]
+
+
+@lru_cache(2)
+def _tool(path: str) -> ByteBPE:
+    """One for each worker process, whose ranks and cache last over its tasks."""
+    return ByteBPE(path)
 
 
 def _vocabulary(path: str | None) -> str:
@@ -232,7 +249,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     path = _vocabulary(vocabulary)
 
     def make():
-        tool = ByteBPE(path)
+        tool = _tool(path)
 
         def one(text: str) -> tuple:
             ids = tool.encode(text)
@@ -249,7 +266,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = ByteBPE(path)
+        tool = _tool(path)
         for batch in batches:
             data = [tool.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=[id_col, "bytes"])
@@ -258,14 +275,18 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, and its ids decoded again. Cases as :func:`encode`."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, n_bytes, offsets_crc32): every whole text encoded, and its ids decoded again.
+
+    Decoding goes span by span of DECODE_BYTES, by the offsets; n_bytes is where they end, offsets_crc32 the checksum of
+    all of them as little-endian 64-bit integers. Cases as :func:`encode`.
+    """
     path = _vocabulary(vocabulary)
     kind = df.schema[id_col].dataType.simpleString()
-    types = [pa.int64(), pa.string(), pa.string()]
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "offsets_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = ByteBPE(path)
+        tool = _tool(path)
         numbers = [str(i) for i in range(len(tool.tokens))]
         for batch in batches:
             at = 0
@@ -277,8 +298,10 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
                     at += 1
                 rows = []
                 for ids in tool.encode_many(texts):
-                    listed = ids.tolist()
-                    rows.append((len(listed), sha256_hex(" ".join([numbers[i] for i in listed])), sha256_hex(tool.decode(listed))))
+                    offsets, digest = tool.offsets(ids), hashlib.sha256()
+                    for a in range(0, int(offsets[-1]), DECODE_BYTES):
+                        digest.update(tool.decode_span(ids, offsets, a, min(a + DECODE_BYTES, int(offsets[-1]))))
+                    rows.append((len(ids), sha256_hex(" ".join([numbers[i] for i in ids.tolist()])), digest.hexdigest(), int(offsets[-1]), zlib.crc32(offsets.astype("<i8").tobytes())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), *(pa.array(c, k) for c, k in zip(zip(*rows), types))], names=names)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, offsets_crc32 long")
