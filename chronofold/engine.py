@@ -346,7 +346,7 @@ class Engine:
             build["identity"] = [*old["identity"], part(self._save(added.select([c.split()[0] for c in IDENTITY.split(", ")]), "identity"))]
             build["renames"] = old.get("renames")
             if n_merged:
-                further = self._renames(old).join(renames.withColumnRenamed("from_entity_id", "into_entity_id").withColumnRenamed("into_entity_id", "_to"), "into_entity_id", "left")
+                further = self._renames(old).join(renames.select(F.col("from_entity_id").alias("into_entity_id"), F.col("into_entity_id").alias("_to")), "into_entity_id", "left")
                 build["renames"] = self._save(further.select("from_entity_id", F.coalesce("_to", "into_entity_id").alias("into_entity_id")).unionByName(renames), "renames")
         else:
             every = fresh
@@ -409,6 +409,10 @@ class Engine:
             key = f"{name}_id"
             own = events.filter(F.col("entity_type") == name).withColumnRenamed("sequence", "seq")
             keyed = self._folder.kept(self._linked(own, entity, identity), f"{name}-keyed")
+            if (touched is not None or not old) and keyed.isEmpty():  # nothing of this type to fold
+                gone = self._save(gone_ids.select(F.col("entity_id").alias(key)), "gone") if gone_ids is not None and old["history"].get(name) else None
+                build["history"][name] = self._as_parts(list(old.get("history", {}).get(name, [])), part(None, gone))
+                continue
             rows, rels, errors = H.build_history(keyed, EntityFold(entity, kinds, now), keep=lambda df, name=name: self._folder.kept(df, f"{name}-folded"))
             rebuilt = self._folder.kept(rows, f"{name}-rows")
             before = self._history_frame(old, name, defs, buckets)
@@ -416,8 +420,9 @@ class Engine:
                 before = before.join(gone_ids.withColumnRenamed("entity_id", key), key, "left_semi")
             before_ids, new_ids = before.select(key).distinct(), rebuilt.select(key).distinct()
             counts["effects"] += rebuilt.count()
-            counts["created"] += new_ids.join(before_ids, key, "left_anti").count()
-            counts["updated"] += new_ids.join(before_ids, key, "left_semi").count()
+            n_new, n_known = new_ids.join(before_ids.withColumn("_was", F.lit(1)), key, "left").agg(F.count("*"), F.count("_was")).first()
+            counts["created"] += n_new - n_known
+            counts["updated"] += n_known
             whole = rebuilt
             if lost is not None:
                 ended = before.join(lost.select(F.col("from_entity_id").alias(key)), key, "left_semi")
@@ -442,6 +447,8 @@ class Engine:
                 failed += [EventFailure({}, r["error"], "interpretation", entity_id=r["entity_id"], entity_type=name) for r in wrong.limit(TOLD).collect()]
             relations = rels if relations is None else relations.unionByName(rels)
         build["relations"] = list(old.get("relations", [])) if touched is not None else []
+        if relations is None and gone_ids is not None and build["relations"]:
+            build["relations"].append(part(None, self._save(gone_ids.select(F.col("entity_id").alias("source_id")), "gone")))
         if relations is not None:
             gone = self._save(gone_ids.select(F.col("entity_id").alias("source_id")), "gone") if gone_ids is not None else None
             build["relations"] = self._as_parts(build["relations"], part(self._save(relations.select([c.split()[0] for c in RELATIONS.split(", ")]), "relations"), gone))

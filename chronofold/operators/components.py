@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     start = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())  # the input is computed once
     alone = start.filter("u = v").select(F.col("u").alias("node"))
     work = start.filter("u != v")
+    if work.isEmpty():
+        return alone.select("node", F.col("node").alias("component"))
     seen = None
     for _ in range(max_rounds):
         work = cut(_star(_star(work, True), False))
