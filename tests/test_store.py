@@ -113,7 +113,8 @@ def test_many_increments_are_as_one_build(spark, tmp_path, monkeypatch):
     many = Engine(spark, SHOP, str(tmp_path / "many"))
     modes = [many.ingest("app", lot, process=True).build_result.mode for lot in lots]
     assert modes == ["FULL"] + ["INCREMENTAL"] * (len(lots) - 1)
-    live = lambda e: sorted(map(repr, e.history("customer").df.filter("merged_into is null").drop("last_event_time").collect()))
+    own = [r[0] for r in one.table("customer").df.select("customer_id").collect()]  # those that were merged away keep the rows that they had until then
+    live = lambda e: sorted(map(repr, e.history("customer").df.filter(F.col("customer_id").isin(own)).drop("last_event_time").collect()))
     assert live(many) == live(one) and many.table("customer").df.count() == 2 + 1
     assert sorted(map(repr, many.identity.frame().select("value", "entity_id").collect())) == sorted(map(repr, one.identity.frame().select("value", "entity_id").collect()))
     stones = many.history("customer").df.filter("merged_into is not null")
@@ -166,7 +167,7 @@ def test_a_cold_ledger(spark, tmp_path):
     assert e.ledger.tiers() == {"hot": 2, "cold": 0} and e.ledger.flush() == 2 and e.ledger.tiers() == {"hot": 0, "cold": 1} and e.ledger.flush() == 0
     assert e.ledger.prune() > 0 and [tuple(r) for r in e.ledger.replay().collect()] == replay
     e.ingest("app", people(1, 5), process=True)
-    assert e.ledger.tiers() == {"hot": 1, "cold": 1} and e.ledger.count() == 12 and [r["sequence"] for r in e.ledger.replay(10).collect()] == [10, 11, 12]
+    assert e.ledger.tiers() == {"hot": 1, "cold": 1} and e.ledger.count() == 12 and sorted(r["sequence"] for r in e.ledger.replay(10).collect()) == [10, 11, 12]
     assert e.ingest("app", people(2)).duplicates_skipped == 4  # also of cold ones
     e.build(from_raw=True)
     assert set(seen) < set(rows_of(e)) and e.redact(e.identity.lookup("p0@x.org")) == 2
